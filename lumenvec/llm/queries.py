@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenvec.llm.common import read
+from lumenvec.llm.mixing import replicate, replicate_sql
 from lumenvec.llm.quality_rules import QUALITY_SQL, quality_table
 from lumenvec.llm.token_counts import count_tokens
 
@@ -20,11 +21,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(read(spark, sf_dir, "documents"))
 
 
+#: Weights by source; all others have weight 1.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 2.0, "src4": 0.5, "src5": 0.25}
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return replicate(docs, MIX_WEIGHTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op7_source_mixing": op7_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": QUALITY_SQL,
+    "op7_source_mixing": replicate_sql(MIX_WEIGHTS, "doc_id, text, lang, source, n_chars, copy::INT AS copy_no, md5('mix-1:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS order_key"),
 }
