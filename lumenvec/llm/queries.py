@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenvec.llm.common import read
 from lumenvec.llm.mixing import replicate, replicate_sql
 from lumenvec.llm.quality_rules import QUALITY_SQL, quality_table
+from lumenvec.llm.substring_dedup import remove_repeats
 from lumenvec.llm.token_counts import count_tokens
 
 
@@ -30,10 +31,15 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(docs, MIX_WEIGHTS)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op7_source_mixing": op7_source_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
