@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenvec.llm.bag_minhash import near_duplicates
 from lumenvec.llm.common import read
 from lumenvec.llm.mixing import replicate, replicate_sql
 from lumenvec.llm.quality_rules import QUALITY_SQL, quality_table
+from lumenvec.llm.secret_scans import scan
 from lumenvec.llm.substring_dedup import remove_repeats
 from lumenvec.llm.token_counts import count_tokens
 
@@ -35,11 +37,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op7_source_mixing": op7_source_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op9_bag_minhash": op9_bag_minhash,
+    "op5_secret_scans": op5_secret_scans,
 }
 
 ORACLES: dict[str, str] = {
