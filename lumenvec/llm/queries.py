@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenvec.llm.bag_minhash import near_duplicates
 from lumenvec.llm.common import read
 from lumenvec.llm.mixing import replicate, replicate_sql
+from lumenvec.llm.packing import pack_documents
 from lumenvec.llm.quality_rules import QUALITY_SQL, quality_table
 from lumenvec.llm.secret_scans import scan
 from lumenvec.llm.substring_dedup import remove_repeats
@@ -45,6 +46,14 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: The byte-level vocabulary as tokenizer and as ranks.
+BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op8_quality_rules": op8_quality_rules,
@@ -52,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op9_bag_minhash": op9_bag_minhash,
     "op5_secret_scans": op5_secret_scans,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
