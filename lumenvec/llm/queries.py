@@ -15,6 +15,7 @@ from lumenvec.llm.quality_rules import QUALITY_SQL, quality_table
 from lumenvec.llm.secret_scans import scan
 from lumenvec.llm.substring_dedup import remove_repeats
 from lumenvec.llm.token_counts import count_tokens
+from lumenvec.llm.toxicity import score as score_toxicity
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op8_quality_rules": op8_quality_rules,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bag_minhash": op9_bag_minhash,
     "op5_secret_scans": op5_secret_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
