@@ -16,6 +16,7 @@ from lumenvec.llm.secret_scans import scan
 from lumenvec.llm.substring_dedup import remove_repeats
 from lumenvec.llm.token_counts import count_tokens
 from lumenvec.llm.toxicity import score as score_toxicity
+from lumenvec.llm.warc import PAGES_SQL, pages_round_trip
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_round_trip(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op8_quality_rules": op8_quality_rules,
@@ -68,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scans": op5_secret_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op1_arc_to_warc": op1_arc_to_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": QUALITY_SQL,
     "op7_source_mixing": replicate_sql(MIX_WEIGHTS, "doc_id, text, lang, source, n_chars, copy::INT AS copy_no, md5('mix-1:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS order_key"),
+    "op1_arc_to_warc": PAGES_SQL,
 }
