@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenvec.llm.bag_minhash import near_duplicates
 from lumenvec.llm.common import read
 from lumenvec.llm.mixing import replicate, replicate_sql
+from lumenvec.llm.nn_descent import nearest
 from lumenvec.llm.packing import pack_documents
 from lumenvec.llm.quality_rules import QUALITY_SQL, quality_table
 from lumenvec.llm.secret_scans import scan
@@ -64,6 +65,10 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op8_quality_rules": op8_quality_rules,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_toxicity": op10_toxicity,
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op2_nn_descent": op2_nn_descent,
 }
 
 ORACLES: dict[str, str] = {
