@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm.common import written
+from lumenvec.llm.common import WORD, spare_name, written
 from lumenvec.llm.components import components
 from lumenvec.llm.textscan import Words, blocks, mix, powers, window_hashes, words_in
 
@@ -197,7 +197,10 @@ def _links(rows: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, th (the text's hash) and class_id, the class's smallest doc_id, of every row of ``docs`` (doc_id, text)."""
+    """doc_id, th (the text's hash), class_id (the class's smallest doc_id) and is_first, of every row of ``docs`` (doc_id, text).
+
+    is_first marks the row with the smallest (doc_id, th) of its class, a null doc_id last, and its repetitions.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     signed = written(rows.mapInArrow(_sign, "doc_id long, th long, node binary, n long, bands array<long>"), "signed")
     links = _links(rows, signed, threshold)
@@ -208,5 +211,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         label = written(components(links), "labels")
         labelled = mine.join(label, "node", "left").select("doc_id", "th", "node", F.coalesce("label", "node").alias("label"))
     labelled = written(labelled, "row_labels")
-    least = written(labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("label", "least"), "classes")
-    return labelled.join(least, "label", "left").select("doc_id", "th", F.coalesce("least", "doc_id").alias("class_id"))
+    least = labelled.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("least"), F.count(F.lit(1)).alias("rows"))
+    least = written(least.filter("rows > 1").select("label", F.col("least.doc_id").alias("least_id"), F.col("least.th").alias("least_th")), "classes")
+    alone = F.col("least_th").isNull()
+    return labelled.join(least, "label", "left").select(
+        "doc_id", "th", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("class_id"), (alone | (F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("th") == F.col("least_th")))).alias("is_first")
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class of ``docs``, all columns as they are; rows without a word stay."""
+    key, copies = spare_name(docs, "row_key"), near_duplicates(docs, threshold)
+    named = lambda doc, th: F.concat_ws(":", F.coalesce(F.col(doc).cast("long").cast("string"), F.lit("null")), th.cast("string"))
+    kept = copies.filter("is_first").select(named("doc_id", F.col("th")).alias(key)).distinct()
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = docs.filter(worded).withColumn(key, named("doc_id", F.xxhash64("text")))
+    return rows.join(kept, key, "left_semi").dropDuplicates([key]).drop(key).unionByName(docs.filter(~worded))
