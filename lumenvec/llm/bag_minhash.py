@@ -14,7 +14,8 @@ shingles cost one point.
 Candidates: texts that agree in one of ``BANDS`` bands of ``ROWS`` registers (a pair at 0.8 is missed in 5 of 100,000
 cases). No bucket is capped and none is expanded into all pairs: every member is held against one leader of its
 bucket, links are merged into components, and buckets that still hold several components go another round with another
-leader. What then remains is compared pair by pair across components. All comparisons are exact, on whole texts.
+leader. Members of what then is left are compared across components by their signatures, a part of a bucket at a time,
+and only pairs that may be linked leave it. All links are verified exactly, on whole texts.
 
 Defined results: texts without a word are classes of their own; texts of under five words are one shingle; equal texts
 (equal word sequences) are one class whatever their number; a null doc_id is a row like others and takes the class's
@@ -37,9 +38,11 @@ from lumenvec.llm.textscan import Words, blocks, mix, powers, window_hashes, wor
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Rounds with one leader a bucket before the pairs across the components left are compared one by one, unless they are few before.
-LEADER_ROUNDS, FEW_PAIRS = 6, 2
-_BLOCK_DOCS = 2000
+#: Rounds with one leader a bucket, before what is left is compared member by member.
+LEADER_ROUNDS = 2
+#: Registers in which a linked pair agrees at least: at a similarity of 0.8 fewer do once in 10 million pairs.
+AGREE, MEMBERS = 76, 512
+_BLOCK_DOCS, _PAIR_BYTES = 2000, 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,7 +110,7 @@ def band_hashes(reg: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,37 +119,31 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = big.slice(lo, _BLOCK_DOCS)
             words = words_in(b.column("text"))
             n = np.bincount(words.doc, minlength=words.n_docs)
-            bands = band_hashes(signatures(*bags(words), words.n_docs))
+            reg = signatures(*bags(words), words.n_docs)
+            bands, sig = band_hashes(reg), mix(reg.astype(np.float32).view(np.uint32).astype(np.uint64)).astype(np.uint8)
             one, two = words.hashes(7), words.hashes(8)
             first = np.concatenate([[0], np.cumsum(n)])
             nodes = [int(_fold(one[s:e], 71)).to_bytes(8, "big") + int(_fold(two[s:e], 72)).to_bytes(8, "big") if e > s else None for s, e in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(nodes, pa.binary()), pa.array(np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)), pa.array([x if k else [] for x, k in zip(bands, n, strict=True)], pa.list_(pa.int64()))], schema=_SIGNED
+                [b.column("doc_id"), b.column("th"), pa.array(nodes, pa.binary()), pa.array(np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)), pa.array([x if k else [] for x, k in zip(bands, n, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary())], schema=_SIGNED
             )
 
 
-def _bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    _, g, count = bags(words_in(pa.array([text])))
-    return g, count
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two bags."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = int(np.minimum(a[1][i], b[1][j]).sum())
-    return low / max(int(a[1].sum() + b[1].sum()) - low, 1)
+def similarities(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Weighted Jaccard similarity of the bags of each pair of texts."""
+    n, (da, ga, ca), (db, gb, cb) = len(a), bags(words_in(a)), bags(words_in(b))
+    doc, g, count = np.concatenate([da, db]), np.concatenate([ga, gb]), np.concatenate([ca, cb])
+    order = np.lexsort((g, doc))
+    doc, g, count = doc[order], g[order], count[order]
+    met = np.flatnonzero((doc[1:] == doc[:-1]) & (g[1:] == g[:-1]))  # a hash stands once on either side
+    low = np.bincount(doc[met], np.minimum(count[met], count[met + 1]), n)
+    return low / np.maximum(np.bincount(doc, count, n) - low, 1)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, text_a, text_b) with their similarity; neighbouring rows often share text_b."""
-    last, bag = None, None
-    for batch in batches:
-        out = []
-        for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-            if b != last:
-                last, bag = b, _bag_of(tb)
-            out.append(similarity(_bag_of(ta), bag))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "sim"])
+    """Pairs (a, b, text_a, text_b) with their similarity. Pairs are close in size, so blocks of text_a bound both."""
+    for b in blocks(batches, "text_a", _PAIR_BYTES):
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(similarities(b.column("text_a"), b.column("text_b")), pa.float64())], ["a", "b", "sim"])
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -155,34 +152,76 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, sim double")
 
 
-def _links(rows: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _close_pairs(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Of two parts of a bucket (or one with itself): the pairs in different components that may be linked.
+
+        Left out are pairs that differ too much in size or in their distance to the bucket's first leader (distances
+        obey the triangle inequality), that agree in under AGREE registers, and those that share an earlier band.
+        """
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        part, band = np.asarray(table["part"]), table["band"][0].as_py()
+        node, n, far = np.array(table["node"].to_pylist(), object), np.asarray(table["n"]), np.asarray(table["far"])
+        _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), REGISTERS)
+        left, right, out = np.flatnonzero(part == i), np.flatnonzero(part == j), [[], []]
+        for lo in range(0, len(left), 64):
+            x = left[lo : lo + 64]
+            gap = np.abs(far[x][:, None] - far[right][None, :])
+            small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
+            may = (label[x][:, None] != label[right][None, :]) & (small >= threshold * large) & ~(gap > 1 - threshold + 1e-9)
+            p, q = np.nonzero(may)
+            if i == j:
+                p, q = p[node[x[p]] < node[right[q]]], q[node[x[p]] < node[right[q]]]
+            for at in range(0, len(p), 20_000):
+                pp, qq = x[p[at : at + 20_000]], right[q[at : at + 20_000]]
+                same = sig[pp] == sig[qq]
+                hit = same.sum(1) >= AGREE
+                pp, qq, same = pp[hit], qq[hit], same[hit]
+                first = same.reshape(len(pp), BANDS, ROWS).all(2).argmax(1) == band
+                out[0] += node[pp[first]].tolist()
+                out[1] += node[qq[first]].tolist()
+        return pa.Table.from_arrays([pa.array(o, pa.binary()) for o in out], schema=_PAIRS)
+
+    return run
+
+
+def _links(rows: DataFrame, signed: DataFrame, threshold: float) -> DataFrame | None:
     """All links needed for the classes: (a, b) between nodes, that is different texts."""
     # A node's text stands in the row with the smallest (doc_id, th) of its copies; its bands are those of any copy.
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    member = nodes.select("node", "n", "at", F.explode("bands").alias("bucket"))
-    several = written(member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("bucket"), "buckets")
-    member = written(member.join(several, "bucket").select("bucket", "node", "n", "at"), "members")
-    wanted = member.select("node", "at.doc_id", "at.th").distinct()
-    texts = rows.alias("r").join(wanted.alias("w"), F.expr("r.th = w.th and r.doc_id <=> w.doc_id")).select("w.node", "r.text").dropDuplicates(["node"])
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    member = nodes.select("node", "n", "at", "sig", F.posexplode("bands").alias("band", "bucket"))
+    several = written(member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("bucket", "size"), "buckets")
+    member = written(member.join(several, "bucket").select("bucket", "band", "node", "n", "at", "sig", "size"), "members")
+    # The node with the fullest buckets leads first: near copies of one text crowd around that text.
+    crowd = written(member.groupBy("node").agg(F.sum("size").alias("crowd"), F.min("at").alias("at")), "wanted")
+    texts = rows.alias("r").join(crowd.select("node", "at.doc_id", "at.th").alias("w"), F.expr("r.th = w.th and r.doc_id <=> w.doc_id")).select("w.node", "r.text").dropDuplicates(["node"])
     texts = written(texts, "node_texts")
     close = F.expr(f"least(n, m) >= {threshold} * greatest(n, m)")  # more can't be reached at these sizes
-    labelled, links, tested = member.select("bucket", "node", "n", F.col("node").alias("label")), None, None
+    labelled = member.select("bucket", "node", "n", F.col("node").alias("label")).join(crowd.select("node", "crowd"), "node")
+    links, tested, first = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("l"))).alias("lead")
-        left = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), lead, F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-        left = written(left.select("bucket", "lead", "size"), "leaders")
-        sizes = left.agg(F.count(F.lit(1)), F.sum(F.col("size") * F.col("size")), F.sum("size")).first()
-        if not sizes[0]:
+        # Of each bucket with several components: a leader and the number of rows.
+        order = F.struct(F.when(F.lit(turn == 0), -F.col("crowd")).otherwise(F.xxhash64("node", F.lit(turn))).alias("o"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("l"))
+        left = written(labelled.groupBy("bucket").agg(F.min(order).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("bucket", "lead", "size"), "leaders")
+        if left.isEmpty():
             break
-        if turn == LEADER_ROUNDS or turn and sizes[1] <= FEW_PAIRS * max(100_000, sizes[2]):
-            mine = written(labelled.join(left.select("bucket"), "bucket"), "open")
-            other = mine.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("l"))
-            pairs = mine.join(other, "bucket").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("l")) & close)
-            last = True
+        first = left.select("bucket", F.col("lead.b").alias("first")) if first is None else first
+        last = turn == LEADER_ROUNDS
+        if last:
+            to_first = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).select(F.col("a").alias("node"), F.col("b").alias("first"), (1 - F.col("sim")).alias("far"))
+            mine = member.select("bucket", "band", "node", "n", "sig").join(left.select("bucket", F.ceil(F.col("size") / MEMBERS).cast("int").alias("parts")).join(first, "bucket"), "bucket")
+            mine = mine.join(labelled.select("node", "label").distinct(), "node").join(to_first, ["node", "first"], "left")
+            mine = mine.withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+            each = mine.select("bucket", "band", "node", "n", "label", "far", "sig", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+            each = each.select("bucket", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "band", "node", "n", "label", F.coalesce("far", F.lit(float("nan"))).alias("far"), "sig", "part")
+            pairs = each.groupBy("bucket", "i", "j").applyInArrow(_close_pairs(threshold), "a binary, b binary")
         else:
             pairs = labelled.join(left, "bucket").select("node", "n", "label", F.col("lead.b").alias("b"), F.col("lead.m").alias("m"), F.col("lead.l").alias("l")).filter((F.col("label") != F.col("l")) & close)
-            last = False
-        pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
+            pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
         if tested is not None:
             known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
@@ -191,8 +230,7 @@ def _links(rows: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
         links = tested.filter(F.col("sim") >= threshold).select("a", "b")
         if last:
             break
-        label = written(components(links), "labels")
-        labelled = written(member.select("bucket", "node", "n").join(label, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
+        labelled = written(member.select("bucket", "node", "n").join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"), F.lit(0).alias("crowd")), "labelled")
     return links
 
 
@@ -202,14 +240,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     is_first marks the row with the smallest (doc_id, th) of its class, a null doc_id last, and its repetitions.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id long, th long, node binary, n long, bands array<long>"), "signed")
+    signed = written(rows.mapInArrow(_sign, "doc_id long, th long, node binary, n long, bands array<long>, sig binary"), "signed")
     links = _links(rows, signed, threshold)
     mine = signed.select("doc_id", "th", "node")
     if links is None:
         labelled = mine.withColumn("label", F.col("node"))
     else:
-        label = written(components(links), "labels")
-        labelled = mine.join(label, "node", "left").select("doc_id", "th", "node", F.coalesce("label", "node").alias("label"))
+        labelled = mine.join(components(links), "node", "left").select("doc_id", "th", "node", F.coalesce("label", "node").alias("label"))
     labelled = written(labelled, "row_labels")
     least = labelled.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("least"), F.count(F.lit(1)).alias("rows"))
     least = written(least.filter("rows > 1").select("label", F.col("least.doc_id").alias("least_id"), F.col("least.th").alias("least_th")), "classes")

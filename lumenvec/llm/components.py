@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating stars; nothing is gathered on the driver."""
+"""Connected components of an edge table by contraction; nothing is gathered on the driver."""
 
 from __future__ import annotations
 
@@ -9,26 +9,24 @@ from lumenvec.llm.common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of all nodes of ``edges`` (a, b): label is the smallest node that can be reached.
+    """(node, label) of all nodes of ``edges`` (a, b): nodes that can reach one another have the same label, one of them.
 
-    Large-star links each node's larger neighbours to the smallest one around it, small-star its smaller ones; the
-    edges become stars after a number of rounds that grows with the logarithm of the longest path. Minima are combined
-    before each shuffle, and minima are written before the join that brings them back, so that both sides of the join
-    are plain exchanges and adaptive execution can split a node with very many neighbours.
+    A round sends each node to the smallest one around it and replaces the edges by those between the targets; stars
+    are done in one round, and with nodes in random order (here they are hashes) the number of rounds grows with the
+    logarithm of the number of nodes. Targets are a partial aggregate, and are written before they are joined to the
+    edges, so that both sides of a join are plain exchanges and adaptive execution can split a node with very many edges.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    signature = None
+    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    labels = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "stars")
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = written(large, "large_star")
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "stars")
-        small = large.join(low, "a").select(F.col("b").alias("x"), F.col("a"), "m")
-        small = small.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = written(small.filter("a <> b").distinct(), "edges")
-        found = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 32)))).first()
-        if found == signature:
-            break
-        signature = found
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+        target = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "targets")
+        if labels is None:
+            labels = target.select(F.col("a").alias("node"), F.col("m").alias("label"))
+        else:
+            moved = target.select(F.col("a").alias("label"), F.col("m").alias("next"))
+            labels = labels.join(moved, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        ends = now.join(target, "a").select(F.col("m").alias("x"), "b").join(target.select(F.col("a").alias("b"), F.col("m").alias("y")), "b")
+        now = written(ends.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        if now.isEmpty():
+            return labels
