@@ -12,10 +12,10 @@ process stops as soon as its next time is later than all of its text's registers
 shingles cost one point.
 
 Candidates: texts that agree in one of ``BANDS`` bands of ``ROWS`` registers (a pair at 0.8 is missed in 5 of 100,000
-cases). No bucket is capped and none is expanded into all pairs: every member is held against one leader of its
-bucket, links are merged into components, and buckets that still hold several components go another round with another
-leader. Members of what then is left are compared across components by their signatures, a part of a bucket at a time,
-and only pairs that may be linked leave it. All links are verified exactly, on whole texts.
+cases). No bucket is capped and none is expanded into all pairs: every member is held against one leader of its bucket,
+the text around which most others crowd, and links are merged into components. Buckets that then still hold several
+components are joined into groups; parts of a group, of bounded size, are compared as matrices of shingles, and of each
+member and other component only the best link leaves. All links are verified exactly, on whole texts.
 
 Defined results: texts without a word are classes of their own; texts of under five words are one shingle; equal texts
 (equal word sequences) are one class whatever their number; a null doc_id is a row like others and takes the class's
@@ -38,10 +38,8 @@ from lumenvec.llm.textscan import Words, blocks, mix, powers, window_hashes, wor
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Rounds with one leader a bucket, before what is left is compared member by member.
-LEADER_ROUNDS = 2
-#: Registers in which a linked pair agrees at least: at a similarity of 0.8 fewer do once in 10 million pairs.
-AGREE, MEMBERS = 76, 512
+#: What a part of a group holds at most when its members are compared with another part's, and columns of a product.
+MEMBERS, PART_SHINGLES, COLUMNS = 512, 200_000, 4096
 _BLOCK_DOCS, _PAIR_BYTES = 2000, 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,7 +108,7 @@ def band_hashes(reg: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +117,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = big.slice(lo, _BLOCK_DOCS)
             words = words_in(b.column("text"))
             n = np.bincount(words.doc, minlength=words.n_docs)
-            reg = signatures(*bags(words), words.n_docs)
-            bands, sig = band_hashes(reg), mix(reg.astype(np.float32).view(np.uint32).astype(np.uint64)).astype(np.uint8)
+            bands = band_hashes(signatures(*bags(words), words.n_docs))
             one, two = words.hashes(7), words.hashes(8)
             first = np.concatenate([[0], np.cumsum(n)])
             nodes = [int(_fold(one[s:e], 71)).to_bytes(8, "big") + int(_fold(two[s:e], 72)).to_bytes(8, "big") if e > s else None for s, e in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(nodes, pa.binary()), pa.array(np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)), pa.array([x if k else [] for x, k in zip(bands, n, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sig], pa.binary())], schema=_SIGNED
+                [b.column("doc_id"), b.column("th"), pa.array(nodes, pa.binary()), pa.array(np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)), pa.array([x if k else [] for x, k in zip(bands, n, strict=True)], pa.list_(pa.int64()))], schema=_SIGNED
             )
 
 
@@ -152,39 +149,56 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, sim double")
 
 
-_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_BAGGED = pa.schema([("node", pa.binary()), ("bag", pa.binary())])
 
 
-def _close_pairs(threshold: float):
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as packed sets: a shingle that occurs c times gives c different numbers, so that sets overlap as bags do."""
+    for b in blocks(batches):
+        doc, g, count = bags(words_in(b.column("text")))
+        doc, g = np.repeat(doc, count), np.repeat(g, count)
+        nth = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
+        g = mix(g ^ (nth.astype(np.uint64) * _GOLD)).astype("<u8")
+        at = np.searchsorted(doc, np.arange(b.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([g[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BAGGED)
+
+
+_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _links_between(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        """Of two parts of a bucket (or one with itself): the pairs in different components that may be linked.
-
-        Left out are pairs that differ too much in size or in their distance to the bucket's first leader (distances
-        obey the triangle inequality), that agree in under AGREE registers, and those that share an earlier band.
-        """
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        part, band = np.asarray(table["part"]), table["band"][0].as_py()
-        node, n, far = np.array(table["node"].to_pylist(), object), np.asarray(table["n"]), np.asarray(table["far"])
-        _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), REGISTERS)
-        left, right, out = np.flatnonzero(part == i), np.flatnonzero(part == j), [[], []]
-        for lo in range(0, len(left), 64):
-            x = left[lo : lo + 64]
-            gap = np.abs(far[x][:, None] - far[right][None, :])
-            small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
-            may = (label[x][:, None] != label[right][None, :]) & (small >= threshold * large) & ~(gap > 1 - threshold + 1e-9)
-            p, q = np.nonzero(may)
-            if i == j:
-                p, q = p[node[x[p]] < node[right[q]]], q[node[x[p]] < node[right[q]]]
-            for at in range(0, len(p), 20_000):
-                pp, qq = x[p[at : at + 20_000]], right[q[at : at + 20_000]]
-                same = sig[pp] == sig[qq]
-                hit = same.sum(1) >= AGREE
-                pp, qq, same = pp[hit], qq[hit], same[hit]
-                first = same.reshape(len(pp), BANDS, ROWS).all(2).argmax(1) == band
-                out[0] += node[pp[first]].tolist()
-                out[1] += node[qq[first]].tolist()
-        return pa.Table.from_arrays([pa.array(o, pa.binary()) for o in out], schema=_PAIRS)
+        """Two parts of a group (or one with itself): of each member and each other component, the most similar link."""
+        i, j, part = table["i"][0].as_py(), table["j"][0].as_py(), np.asarray(table["part"])
+        node = np.array([*table["node"].to_pylist(), None], object)[:-1]
+        _, label = np.unique(np.array(table["label"].to_pylist()), return_inverse=True)
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        if not len(left) or not len(right) or len(np.unique(label)) == 1:
+            return _LINK.empty_table()
+        sets = [np.frombuffer(x, "<u8") for x in table["bag"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        often = np.bincount(column, minlength=len(values)) > 1
+        keep = often[column]
+        column, row = (np.cumsum(often) - 1)[column[keep]], row[keep]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(often.sum()), COLUMNS):
+            s, e = np.searchsorted(column, [lo, lo + COLUMNS])
+            here = np.zeros((len(sets), COLUMNS), np.float32)
+            here[row[s:e], column[s:e] - lo] = 1
+            common += here[left] @ here[right].T
+        sim = common / (size[left][:, None] + size[right][None, :] - common)
+        p, q = np.nonzero((sim >= np.float32(threshold - 1e-6)) & (label[left][:, None] != label[right][None, :]))
+        exact = common[p, q].astype(np.int64) >= threshold * (size[left[p]] + size[right[q]] - common[p, q].astype(np.int64))
+        p, q = p[exact], q[exact]
+        best = np.lexsort((-sim[p, q], label[right[q]], p))
+        p, q = p[best], q[best]
+        first = np.ones(len(p), bool)
+        first[1:] = (p[1:] != p[:-1]) | (label[right[q[1:]]] != label[right[q[:-1]]])
+        return pa.Table.from_arrays([pa.array(node[left[p[first]]].tolist(), pa.binary()), pa.array(node[right[q[first]]].tolist(), pa.binary())], schema=_LINK)
 
     return run
 
@@ -192,46 +206,36 @@ def _close_pairs(threshold: float):
 def _links(rows: DataFrame, signed: DataFrame, threshold: float) -> DataFrame | None:
     """All links needed for the classes: (a, b) between nodes, that is different texts."""
     # A node's text stands in the row with the smallest (doc_id, th) of its copies; its bands are those of any copy.
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    member = nodes.select("node", "n", "at", "sig", F.posexplode("bands").alias("band", "bucket"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    member = nodes.select("node", "n", "at", F.explode("bands").alias("bucket"))
     several = written(member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("bucket", "size"), "buckets")
-    member = written(member.join(several, "bucket").select("bucket", "band", "node", "n", "at", "sig", "size"), "members")
-    # The node with the fullest buckets leads first: near copies of one text crowd around that text.
-    crowd = written(member.groupBy("node").agg(F.sum("size").alias("crowd"), F.min("at").alias("at")), "wanted")
+    member = written(member.join(several, "bucket").select("bucket", "node", "n", "at", "size"), "members")
+    # The node with the fullest buckets leads: near copies of one text crowd around that text.
+    crowd = written(member.groupBy("node").agg(F.sum("size").alias("crowd"), F.min("at").alias("at"), F.first("n").alias("n")), "wanted")
+    if crowd.isEmpty():
+        return None
     texts = rows.alias("r").join(crowd.select("node", "at.doc_id", "at.th").alias("w"), F.expr("r.th = w.th and r.doc_id <=> w.doc_id")).select("w.node", "r.text").dropDuplicates(["node"])
     texts = written(texts, "node_texts")
-    close = F.expr(f"least(n, m) >= {threshold} * greatest(n, m)")  # more can't be reached at these sizes
-    labelled = member.select("bucket", "node", "n", F.col("node").alias("label")).join(crowd.select("node", "crowd"), "node")
-    links, tested, first = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        # Of each bucket with several components: a leader and the number of rows.
-        order = F.struct(F.when(F.lit(turn == 0), -F.col("crowd")).otherwise(F.xxhash64("node", F.lit(turn))).alias("o"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("l"))
-        left = written(labelled.groupBy("bucket").agg(F.min(order).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("bucket", "lead", "size"), "leaders")
-        if left.isEmpty():
-            break
-        first = left.select("bucket", F.col("lead.b").alias("first")) if first is None else first
-        last = turn == LEADER_ROUNDS
-        if last:
-            to_first = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).select(F.col("a").alias("node"), F.col("b").alias("first"), (1 - F.col("sim")).alias("far"))
-            mine = member.select("bucket", "band", "node", "n", "sig").join(left.select("bucket", F.ceil(F.col("size") / MEMBERS).cast("int").alias("parts")).join(first, "bucket"), "bucket")
-            mine = mine.join(labelled.select("node", "label").distinct(), "node").join(to_first, ["node", "first"], "left")
-            mine = mine.withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
-            each = mine.select("bucket", "band", "node", "n", "label", "far", "sig", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
-            each = each.select("bucket", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "band", "node", "n", "label", F.coalesce("far", F.lit(float("nan"))).alias("far"), "sig", "part")
-            pairs = each.groupBy("bucket", "i", "j").applyInArrow(_close_pairs(threshold), "a binary, b binary")
-        else:
-            pairs = labelled.join(left, "bucket").select("node", "n", "label", F.col("lead.b").alias("b"), F.col("lead.m").alias("m"), F.col("lead.l").alias("l")).filter((F.col("label") != F.col("l")) & close)
-            pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
-        if tested is not None:
-            known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        found = written(_checked(pairs, texts), "tested")
-        tested = found if tested is None else tested.unionByName(found)
-        links = tested.filter(F.col("sim") >= threshold).select("a", "b")
-        if last:
-            break
-        labelled = written(member.select("bucket", "node", "n").join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"), F.lit(0).alias("crowd")), "labelled")
-    return links
+    crowded = member.select("bucket", "node").join(crowd.select("node", "crowd", "n"), "node")
+    lead = written(crowded.groupBy("bucket").agg(F.min(F.struct((-F.col("crowd")).alias("o"), F.col("node").alias("b"), F.col("n").alias("m"))).alias("lead")).select("bucket", "lead.b", "lead.m"), "leaders")
+    close = F.expr(f"node <> b and least(n, m) >= {threshold} * greatest(n, m)")  # more can't be reached at these sizes
+    pairs = member.join(lead, "bucket").filter(close).select(F.col("node").alias("a"), "b").distinct()
+    tested = written(_checked(pairs, texts), "tested")
+    links = tested.filter(F.col("sim") >= threshold).select("a", "b")
+    label = written(crowd.select("node", "n").join(components(links), "node", "left").select("node", "n", F.coalesce("label", "node").alias("label")), "labels")
+    # Buckets that still hold several components; those that share a member make one group.
+    open_ = member.select("bucket", "node").join(label.select("node", "label"), "node").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("b")).filter("lo <> hi")
+    edges = written(member.select("bucket", "node").join(written(open_.select("bucket", "b"), "open"), "bucket").select(F.col("node").alias("a"), "b"), "group_edges")
+    if edges.isEmpty():
+        return links
+    group = written(components(edges).withColumnRenamed("label", "grp").join(label, "node").select("node", "n", "label", "grp"), "groups")
+    parts = group.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    mine = group.join(written(parts, "parts"), "grp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    mine = mine.join(texts.mapInArrow(_bagged, "node binary, bag binary"), "node")
+    each = mine.select("grp", "node", "label", "part", "bag", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+    each = each.select("grp", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "node", "label", "part", "bag")
+    crossing = each.groupBy("grp", "i", "j").applyInArrow(_links_between(threshold), "a binary, b binary")
+    return links.unionByName(written(crossing.distinct(), "crossing"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,7 +244,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     is_first marks the row with the smallest (doc_id, th) of its class, a null doc_id last, and its repetitions.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id long, th long, node binary, n long, bands array<long>, sig binary"), "signed")
+    signed = written(rows.mapInArrow(_sign, "doc_id long, th long, node binary, n long, bands array<long>"), "signed")
     links = _links(rows, signed, threshold)
     mine = signed.select("doc_id", "th", "node")
     if links is None:
