@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm.common import WORD, spare_name, written
+from lumenvec.llm.common import WORD, likely, spare_name, written
 from lumenvec.llm.components import components
 from lumenvec.llm.textscan import Words, blocks, mix, powers, window_hashes, words_in
 
@@ -207,14 +207,16 @@ def _links(rows: DataFrame, signed: DataFrame, threshold: float) -> DataFrame |
     """All links needed for the classes: (a, b) between nodes, that is different texts."""
     # A node's text stands in the row with the smallest (doc_id, th) of its copies; its bands are those of any copy.
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    member = nodes.select("node", "n", "at", F.explode("bands").alias("bucket"))
-    several = written(member.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("bucket", "size"), "buckets")
-    member = written(member.join(several, "bucket").select("bucket", "node", "n", "at", "size"), "members")
+    nodes = written(nodes, "nodes")
+    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    several = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    member = written(likely(banded, several, "bucket").join(several, "bucket").select("bucket", "node", "n", "size"), "members")
     # The node with the fullest buckets leads: near copies of one text crowd around that text.
-    crowd = written(member.groupBy("node").agg(F.sum("size").alias("crowd"), F.min("at").alias("at"), F.first("n").alias("n")), "wanted")
+    crowd = written(member.groupBy("node").agg(F.sum("size").alias("crowd")).join(nodes.select("node", "n", "at"), "node"), "wanted")
     if crowd.isEmpty():
         return None
-    texts = rows.alias("r").join(crowd.select("node", "at.doc_id", "at.th").alias("w"), F.expr("r.th = w.th and r.doc_id <=> w.doc_id")).select("w.node", "r.text").dropDuplicates(["node"])
+    place = crowd.select("node", "at.doc_id", "at.th")
+    texts = likely(rows, place, "th").alias("r").join(place.alias("w"), F.expr("r.th = w.th and r.doc_id <=> w.doc_id")).select("w.node", "r.text").dropDuplicates(["node"])
     texts = written(texts, "node_texts")
     crowded = member.select("bucket", "node").join(crowd.select("node", "crowd", "n"), "node")
     lead = written(crowded.groupBy("bucket").agg(F.min(F.struct((-F.col("crowd")).alias("o"), F.col("node").alias("b"), F.col("n").alias("m"))).alias("lead")).select("bucket", "lead.b", "lead.m"), "leaders")

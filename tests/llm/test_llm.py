@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from lumenvec.llm import bag_minhash, mixing, nn_descent, packing, quality_rules, secret_scans, substring_dedup, textscan, token_counts, toxicity, warc  # noqa: E402
+from lumenvec.llm.common import likely  # noqa: E402
 from lumenvec.llm.queries import BYTE_BPE, MIX_WEIGHTS, ORACLES, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -148,6 +149,14 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(gaps)) < 0.02 and np.std(gaps) < 0.07
 
 
+def test_sketch_loses_no_key(spark):
+    rows = spark.range(-50_000, 50_000).select(F.col("id").alias("k"), F.lit("x").alias("text"))
+    keys = rows.filter("k % 10 = 3").select("k")
+    left = likely(rows, keys, "k")
+    assert left.columns == rows.columns and left.join(keys, "k").count() == keys.count() and left.count() < 1.05 * keys.count()
+    assert likely(rows, keys.limit(0), "k").count() == 0
+
+
 def test_near_duplicates_empty(spark):
     assert bag_minhash.near_duplicates(docs_of(spark, ODD).limit(0)).count() == 0
     assert bag_minhash.drop_near_duplicates(docs_of(spark, [(1, None), (2, ""), (3, None)])).count() == 3
