@@ -3,8 +3,10 @@
 Three shapes are found by pattern: assignments of a password, secret or key, access keys, and long hexadecimal strings.
 The method adds what has no known shape: a run of key characters whose characters per token, under a byte-level
 vocabulary, fall below ``RATIO``. Prose and names are made of pieces that the vocabulary holds, random strings fall
-apart into pieces of one or two characters. Runs that a known digest or identifier explains are left out before: UUIDs,
-pure numbers, digests of the usual lengths behind a digest's name, addresses, paths and words without digits or case changes.
+apart into pieces of one or two characters. A full stop ends a run, so each part of a dotted token is measured by itself.
+Runs that a known digest or identifier explains are left out before: UUIDs, pure numbers, digests of the usual lengths
+behind a digest's name, and words and numbers side by side without case changes inside. Paths are told from base64 by the
+ratio of their parts; in a path, parts of at least ``MIN_RUN`` characters are measured again, each by itself.
 
 Offsets are code points, ends exclusive. Defined results: null text counts as empty; an empty text has no spans, the
 digest of nothing; very long texts are scanned whole; repeated rows get equal results; extra columns are ignored by
@@ -32,7 +34,11 @@ LONG_HEX = re.compile("(?<![0-9a-f])[0-9a-f]{24,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Characters per token below which a run of at least MIN_RUN characters is random.
 RATIO, MIN_RUN = 2.0, 20
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+LETTERS = re.compile("[A-Za-z]+")
+#: A word without a case change inside.
+PLAIN = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*")
 UUID = re.compile("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 DIGEST = re.compile("[0-9a-fA-F]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
@@ -58,24 +64,43 @@ def _base(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _explained(text: str, m: re.Match) -> bool:
+def _explained(text: str, start: int, end: int) -> bool:
     """Whether a run is a known digest or identifier, or too plain to be a secret."""
-    run = m.group()
-    if UUID.fullmatch(run) or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or run.count("/") > 2 and not re.search("[+=]", run):
+    run = text[start:end]
+    if UUID.fullmatch(run) or WORDS.fullmatch(run):
         return True
-    if re.fullmatch(r"(?:[A-Za-z]+|[0-9]+)(?:[_./=-]+(?:[A-Za-z]+|[0-9]+))*", run):
+    if not re.search("[0-9]", run) and all(PLAIN.fullmatch(x) for x in LETTERS.findall(run)) or not LETTERS.search(run):
         return True
-    return bool(DIGEST.fullmatch(run)) and len(run) in DIGEST_LENGTHS and bool(DIGEST_NAME.search(text, max(0, m.start() - 24), m.start()))
+    return bool(DIGEST.fullmatch(run)) and len(run) in DIGEST_LENGTHS and bool(DIGEST_NAME.search(text, max(0, start - 24), start))
+
+
+def _random(parts: list[str], encoding) -> bool:
+    return sum(map(len, parts)) < RATIO * sum(len(encoding.encode_ordinary(x)) for x in parts)
+
+
+def _random_spans(text: str, start: int, end: int, encoding) -> list[tuple[int, int, int]]:
+    """The run itself if it is random, or the random parts of a path."""
+    if _explained(text, start, end):
+        return []
+    run = text[start:end]
+    parts = run.split("/")
+    path = len(parts) > 3 and not re.search("[+=]", run)
+    if _random([x for x in parts if not UUID.fullmatch(x)] if path else [run], encoding):
+        return [(start, 3, end)]
+    out = []
+    for x in parts if len(parts) > 1 else []:
+        if len(x) >= MIN_RUN and not _explained(text, start, start + len(x)) and _random([x], encoding):
+            out.append((start, 3, start + len(x)))
+        start += len(x) + 1
+    return out
 
 
 def spans_of(text: str, encoding) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and spans of random runs that no base span touches."""
     base, more = _base(text), []
     for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base) or _explained(text, m):
-            continue
-        if len(m.group()) < RATIO * len(encoding.encode_ordinary(m.group())):
-            more.append((m.start(), 3, m.end()))
+        if not any(s < m.end() and m.start() < e for s, _, e in base):
+            more += _random_spans(text, m.start(), m.end(), encoding)
     return base, more
 
 

@@ -189,6 +189,23 @@ def test_secret_spans(spark):
     assert clean[0] == "x <secret> y" and clean[7] is None and clean[5] == cases[5]
 
 
+def test_secret_spans_at_stops_and_slashes():
+    encoding = secret_scans._encoding(*BYTE_BPE[1:])
+    found = lambda t: [t[s:e] for s, _, e in secret_scans.spans_of(t, encoding)[1]]
+    random.seed(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda of, k: "".join(random.choices(of, k=k))
+    a, b, c = (draw(letters + "0123456789", 40) for _ in range(3))
+    assert found(f"the key is {a}.") == [a] and found(f"{a}... or .{b}") == [a, b]
+    assert found(f"x {a}.{b}.{c}, y") == [a, b, c]
+    assert sum(found(t) == [t] for t in (draw(letters, 40) for _ in range(200))) > 195
+    slashed = [t for t in (draw(letters + "0123456789/", 64) for _ in range(2000)) if t.count("/") > 2 and t[0] != "/" != t[-1]]
+    assert len(slashed) > 50 and sum(found(t) == [t] for t in slashed) > 0.98 * len(slashed)
+    assert found(f"services/team/channel/{a}") in ([a], [f"services/team/channel/{a}"])
+    plain = ["src/main/java/com/example/service2/UserAccountService", "AbstractSingletonProxyFactoryBean", "www.example.com/world/europe/2023/article-on-weather", "-----BEGIN-CERTIFICATE-----", "one-two-three-four-five-six.", "====================", "12345678901234567890.5", "items/list/of/123e4567-e89b-12d3-a456-426614174000"]
+    assert not any(map(found, plain))
+
+
 # Packing
 
 
