@@ -360,6 +360,24 @@ def test_nn_descent_recall(spark):
     assert nn_descent.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["near copies", "uneven lengths"])
+def test_nn_descent_recall_of_close_and_uneven(spark, kind):
+    rng, n = np.random.default_rng(3), 1500
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((n, 64)))
+    x = unit(unit(rng.standard_normal((1, 64))) + 0.01 * x) if kind == "near copies" else x * np.exp(0.5 * rng.standard_normal((n, 1)))
+    x = x.astype(np.float32)
+    found = defaultdict(set)
+    for r in nn_descent.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in range(0, n, 20):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 # Toxicity
 
 
