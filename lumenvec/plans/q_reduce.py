@@ -47,12 +47,12 @@ def dr8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sta1")
 def sta1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce.kmeans_sweep(vectors(spark, sf_dir), k_max=6)[0]
+    return reduce.kmeans_sweep(vectors(spark, sf_dir))[0]
 
 
 @query("sta3")
 def sta3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce.kmeans_sweep(vectors(spark, sf_dir), k_max=4, by="silhouette")[0]
+    return reduce.kmeans_sweep(vectors(spark, sf_dir), by="silhouette")[0]
 
 
 @query("knn9", "SELECT count(*) AS n, 2::BIGINT AS k FROM embeddings WHERE vec_id % 5 = 0")

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +222,16 @@ def test_entries(spark, tmp_path):
     assert [tuple(r) for r in entries.read_names(spark, str(p), "cath").collect()] == [("1.10", "Orthogonal Bundle")]
     p.write_text("ID   1.1.1.1\nDE   Alcohol dehydrogenase.\n//\nID   1.1.1.2\nDE   Two\nDE   lines.\n//\n")
     assert {tuple(r) for r in entries.read_names(spark, str(p), "enzyme").collect()} == {("1.1.1.1", "Alcohol dehydrogenase"), ("1.1.1.2", "Two lines")}
+
+
+@pytest.mark.parametrize("name", ["sta1", "sta3"])
+def test_registered_sweeps_find_a_dozen_clusters(spark, tmp_path, name):
+    from lumenvec.plans import registry
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in 20 * np.eye(12)[i % 12] + 0.1 * rng.standard_normal(12)], i % 12) for i in range(240)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    groups = {}
+    for r in registry.queries()[name](spark, str(tmp_path)).collect():
+        groups.setdefault(r["id"] % 12, set()).add(r["cluster"])
+    assert len(groups) == 12 and len(set.union(*groups.values())) == 12
