@@ -235,3 +235,20 @@ def test_registered_sweeps_find_a_dozen_clusters(spark, tmp_path, name):
     for r in registry.queries()[name](spark, str(tmp_path)).collect():
         groups.setdefault(r["id"] % 12, set()).add(r["cluster"])
     assert len(groups) == 12 and len(set.union(*groups.values())) == 12
+
+
+@pytest.mark.parametrize("method", ["mds", "tsne"])
+def test_rows_outside_the_landmarks_are_placed(spark, method):
+    rng = np.random.default_rng(6)
+    plane = rng.standard_normal((120, 2)) * 0.2 + 5 * np.eye(2)[np.arange(120) % 2]
+    v = plane @ np.linalg.qr(rng.standard_normal((8, 2)))[0].T
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<double>").repartition(3)
+    got = {r["id"]: r["coords"] for r in reduce.reduce_sample(df, method, 2, sample=40).collect()}
+    assert sorted(got) == list(range(120))
+    y = np.array([got[i] for i in range(120)])
+    gap = lambda x: np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    if method == "mds":
+        assert np.corrcoef(gap(y).ravel(), gap(v).ravel())[0, 1] > 0.98
+    else:
+        far = gap(y) + 1e9 * np.eye(120)
+        assert (far.argmin(1) % 2 == np.arange(120) % 2).mean() > 0.95
