@@ -337,45 +337,88 @@ def test_arc_headers(version):
 # Neighbours
 
 
+def brute_nearest(rows, k=20):
+    """Of (id, vector) rows, by place of the row: what each row with an id divisible by 20 has to find, ties by id."""
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    out = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        top = np.lexsort((ids, -score.round(9)))[: min(k, len(ids) - 1)]
+        out.append((int(ids[i]), Counter(ids[top].tolist())))
+    return out
+
+
+def recalls(spark, rows, kind):
+    """Recall by query row; two rows with one id and vector get the same answers twice."""
+    df = spark.createDataFrame([(int(i), [float(v) for v in x]) for i, x in rows], f"vec_id long, embedding array<{kind}>").repartition(3)
+    found = defaultdict(Counter)
+    for r in nn_descent.nearest(df).collect():
+        found[r["query_id"]][r["vec_id"]] += 1
+    want = brute_nearest(rows)
+    times = Counter(q for q, _ in want)
+    return [sum((Counter({v: n // times[q] for v, n in found[q].items()}) & w).values()) / w.total() for q, w in want]
+
+
 def test_nn_descent_recall(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((1500, 16)) + 3 * rng.standard_normal((12, 16))[rng.integers(0, 12, 1500)]
     x[100:400] = x[100]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (2080, [1.0, 2.0]), (None, [1.0] * 16), (40, [float(v) for v in x[40]])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    rows = [(i, [float(v) for v in r], "x") for i, r in enumerate(x)] + [(2000, None, "x"), (2020, [0.0] * 16, "x"), (2040, [float("nan")] * 16, "x"), (2060, [None] * 16, "x"), (2080, [1.0, 2.0], "x"), (2081, [3.0, 2.0], "x"), (None, [1.0] * 16, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string").repartition(3)
     found = defaultdict(list)
     for r in nn_descent.nearest(df).collect():
         found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert found.pop(2080) == [(1, 2081, 7.0)]
     assert set(found) == set(range(0, 1500, 20))
     recall = []
-    for q, got in found.items():
-        score = x @ x[q]
-        score[q] = -np.inf
-        top = np.lexsort((np.arange(1500), -score.round(9)))[:20]
-        got.sort()
-        assert [g[0] for g in got] == list(range(1, 21)) and all(abs(score[v] - s) < 1e-9 for _, v, s in got)
-        recall.append(len({v for _, v, _ in got} & set(top.tolist())) / 20)
+    for q, want in brute_nearest(list(enumerate(x))):
+        got = sorted(found[q])
+        assert [g[0] for g in got] == list(range(1, 21)) and all(abs(x[v] @ x[q] - s) < 1e-9 for _, v, s in got)
+        assert all((a[2].__round__(9), -a[1]) > (b[2].__round__(9), -b[1]) for a, b in zip(got[:-1], got[1:], strict=True))
+        recall.append(len({v for _, v, _ in got} & set(want)) / 20)
     assert np.mean(recall) >= 0.9
     assert [(r["query_id"], r["vec_id"]) for r in nn_descent.nearest(df.filter("vec_id in (0, 1)")).collect()] == [(0, 1)]
     assert nn_descent.nearest(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["near copies", "uneven lengths"])
+def test_nn_descent_answers_every_row(spark):
+    """Rows equal in id and vector are each other's candidates; an id with two vectors is two rows; few candidates are all returned."""
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (40, [0.0, 2.0]), (40, [3.0, 0.0]), (1, [1.0, 1.0])]
+    got = nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    want = Counter()
+    for i, (q, x) in enumerate(rows):
+        others = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), v) for j, (v, y) in enumerate(rows) if j != i)
+        want.update((q, rank + 1, v, -s) for rank, (s, v) in enumerate(others) if q % 20 == 0)
+    assert Counter(tuple(r) for r in got) == want
+
+
+@pytest.mark.parametrize("kind", ["near copies", "uneven lengths", "one giant", "four decades", "repeated rows"])
 def test_nn_descent_recall_of_close_and_uneven(spark, kind):
-    rng, n = np.random.default_rng(3), 1500
+    rng, n = np.random.default_rng(3), 1200
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     x = unit(rng.standard_normal((n, 64)))
-    x = unit(unit(rng.standard_normal((1, 64))) + 0.01 * x) if kind == "near copies" else x * np.exp(0.5 * rng.standard_normal((n, 1)))
-    x = x.astype(np.float32)
-    found = defaultdict(set)
-    for r in nn_descent.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect():
-        found[r["query_id"]].add(r["vec_id"])
-    recall = []
-    for q in range(0, n, 20):
-        score = x.astype(float) @ x[q].astype(float)
-        score[q] = -np.inf
-        recall.append(len(found[q] & set(np.argsort(-score)[:20].tolist())) / 20)
-    assert np.mean(recall) >= 0.9
+    if kind == "near copies":
+        x = unit(unit(rng.standard_normal((1, 64))) + 0.01 * x)
+    elif kind == "uneven lengths":
+        x = x * np.exp(0.5 * rng.standard_normal((n, 1)))
+    elif kind == "one giant":
+        x = np.vstack([unit(x + 2 * unit(rng.standard_normal((20, 64)))[np.arange(n) % 20]), 300 * x[:1]])
+    elif kind == "four decades":
+        x = x * 10 ** rng.uniform(-2, 2, (n, 1))
+    rows = list(enumerate(x.astype(np.float32)))
+    if kind == "repeated rows":
+        rows += rows[::5]
+    got = recalls(spark, rows, "float")
+    assert np.mean(got) >= 0.9, (kind, np.mean(got), min(got))
+
+
+def test_nn_descent_recall_on_the_test_table(spark):
+    if not os.path.isdir("/root/testdata/sf0.1"):
+        pytest.skip("no test tables")
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = recalls(spark, rows, "float")
+    assert np.mean(got) >= 0.9 and min(got) >= 0.6, (np.mean(got), min(got))
 
 
 # Toxicity
