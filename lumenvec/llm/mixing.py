@@ -28,7 +28,6 @@ MAX_STEP = 32.0
 TABLE = 128
 #: Sources up to which their rates are broadcast; beyond, a shuffled join takes over.
 BROADCAST_SOURCES = 100_000
-#: The order in which the mixture is stored is dealt into this many rows a partition at least.
 SEED = "mix-1"
 
 
@@ -72,12 +71,16 @@ def replicate(docs: DataFrame, weights: Mapping[str, float], target_rows: int |
     if rates.select(src).limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     keyed = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    below = lambda i: F.size(F.filter(F.col(table), lambda c: c <= uniform(F.lit(seed), keyed, i.cast("string"))))
+    # A part's number is hashed once and bound before the table is read, so that a row costs one MD5 a part.
+    below = lambda i: F.aggregate(F.array(uniform(F.lit(seed), keyed, i.cast("string"))), F.lit(0), lambda a, u: a + F.size(F.filter(F.col(table), lambda c: c <= u)))
     count = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, i: a + below(i))
     drawn = named.join(rates, src).withColumn(copies, count).filter(F.col(copies) > 0).drop(src, parts, table)
     each = drawn.withColumn(copies, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
     each = each.withColumn(order, F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), keyed, F.col(copies).cast("string"))))
-    return each.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order)
+    # MD5 is uniform, so its first 32 bits over 2**32 name ranges of equal size: no pass over the rows to sample bounds.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)).cast("int")
+    return each.repartitionById(n, place).sortWithinPartitions(order)
 
 
 def replicate_sql(weights: Mapping[str, float], columns: str, table: str = "documents", seed: str = SEED) -> str:
