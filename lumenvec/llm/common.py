@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -21,11 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent, a session on one machine gets a temporary folder of its own; on a cluster, where
+    executors wouldn't see such a folder, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "lumenvec-shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lumenvec-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 

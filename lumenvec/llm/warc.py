@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote_to_bytes
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,8 +140,8 @@ def warc_date(digits: str) -> str:
 
 
 def _arc_rows(whole: bool):
-    names = ["record_id", "key", "digest", "size"] + ["url", "date", "ip", "mime", "block"] * whole
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()] * whole
+    names = ["record_id", "key", "digest", "size", "url", "date"] + ["ip", "mime", "block"] * whole
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()] + [pa.string(), pa.string(), pa.binary()] * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +151,7 @@ def _arc_rows(whole: bool):
                 for r in parse_arc(data):
                     head, payload = split_http(r["block"])
                     rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{path.rsplit('/', 1)[-1]}:{r['offset']}:{r['URL']}").urn
-                    rows.append((rid, _number(_field(head, KEY)), hashlib.sha1(payload).hexdigest(), len(payload), *((_plain_url(r["URL"]), warc_date(r["Archive-date"]), r["IP-address"], r["Content-type"], r["block"]) if whole else ())))
+                    rows.append((rid, _number(_field(head, KEY)), hashlib.sha1(payload).hexdigest(), len(payload), _plain_url(r["URL"]), warc_date(r["Archive-date"]), *((r["IP-address"], r["Content-type"], r["block"]) if whole else ())))
                     size += len(r["block"]) if whole else 100
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -164,10 +163,12 @@ def _arc_rows(whole: bool):
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    except AnalysisException:  # a folder without files
-        return spark.createDataFrame([], "path string, content binary")
+    """The archives of a folder (or of folders by a pattern); an error where there is no such folder, no rows where it has no archive."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p):
+        raise FileNotFoundError(path)
+    return spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
 def _warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -175,6 +176,10 @@ def _warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> byte
     return "\r\n".join(head).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
 
 
+def _uri(url: str) -> str:
+    return quote(url.encode("utf-8", "surrogateescape"), safe="%!#$&'()*+,-./:;=?@[]^_`{|}~\"<>\\")
+
+
 def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -191,13 +196,15 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             http = bool(head)
             fields = [("WARC-Record-ID", f"<{r['record_id']}>"), ("WARC-Date", r["date"]), ("WARC-Warcinfo-ID", info), ("WARC-IP-Address", r["ip"])]
             if r["url"] is not None:
-                fields.append(("WARC-Target-URI", quote(r["url"].encode("utf-8", "surrogateescape"), safe="%!#$&'()*+,-./:;=?@[]^_`{|}~\"<>\\")))
+                fields.append(("WARC-Target-URI", _uri(r["url"])))
             if r["key"] is not None:
                 fields.append((KEY, str(r["key"])))
             kind, block = ("response" if http else "resource"), r["block"]
             if r["first_id"] is not None and r["first_id"] != r["record_id"]:
                 kind, block = "revisit", head
                 fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{r['first_id']}>"), ("WARC-Refers-To-Date", r["first_date"])]
+                if r["first_url"] is not None:
+                    fields.append(("WARC-Refers-To-Target-URI", _uri(r["first_url"])))
                 if r["first_key"] is not None:
                     fields.append((f"{KEY}-Referred", str(r["first_key"])))
             fields += [("WARC-Payload-Digest", _digest(payload)), ("WARC-Block-Digest", _digest(block)), ("Content-Type", "application/http; msgtype=response" if http else r["mime"])]
@@ -207,12 +214,12 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """All ARC files of a folder as WARC files in another."""
-    brief = _files(spark, arc_path).mapInArrow(_arc_rows(False), "record_id string, key long, digest string, size long")
-    first = brief.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("key", "record_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = written(first.select("digest", "first.key", "first.record_id"), "first_records").select(F.col("digest").alias("same"), F.col("key").alias("first_key"), F.col("record_id").alias("first_id"))
+    brief = _files(spark, arc_path).mapInArrow(_arc_rows(False), "record_id string, key long, digest string, size long, url string, date string")
+    first = brief.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("key", "record_id", "url", "date")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first.select(F.col("digest").alias("same"), *[F.col(f"first.{c}").alias(f"first_{n}") for c, n in (("key", "key"), ("record_id", "id"), ("url", "url"), ("date", "date"))]), "first_records")
     rows = _files(spark, arc_path).mapInArrow(_arc_rows(True), "record_id string, key long, digest string, size long, url string, date string, ip string, mime string, block binary")
-    matched = rows.join(first, (rows["digest"] == first["same"]) & (rows["size"] >= REVISIT_BYTES), "left").withColumn("first_date", F.when(F.col("first_id").isNotNull(), F.col("date")))
-    records = matched.select("record_id", "key", "url", "date", "ip", "mime", "block", "first_id", "first_key", "first_date").mapInArrow(_to_warc, "record binary")
+    matched = rows.join(first, (rows["digest"] == first["same"]) & (rows["size"] >= REVISIT_BYTES), "left")
+    records = matched.select("record_id", "key", "url", "date", "ip", "mime", "block", "first_id", "first_key", "first_url", "first_date").mapInArrow(_to_warc, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
 
 
@@ -235,7 +242,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size
 
 
-_READ = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("key", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to_id", pa.string()), ("refers_to", pa.int64())])
+_READ = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("key", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to_id", pa.string()), ("refers_to", pa.int64()), ("refers_to_url", pa.string()), ("refers_to_date", pa.string())])
 
 
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +258,13 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not revisit and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"{f['warc-record-id']}: the payload doesn't have its digest")
                 url = f.get("warc-target-uri")
-                out.append({"record_type": f["warc-type"], "record_id": f["warc-record-id"].strip("<>"), "key": _number(f.get(KEY.lower())), "url": url, "date": f["warc-date"], "payload_digest": digest, "payload_bytes": int(_field(head, "Content-Length")) if revisit else len(payload), "refers_to_id": f.get("warc-refers-to", "").strip("<>") or None, "refers_to": _number(f.get(f"{KEY}-Referred".lower()))})
+                out.append({"record_type": f["warc-type"], "record_id": f["warc-record-id"].strip("<>"), "key": _number(f.get(KEY.lower())), "url": url, "date": f["warc-date"], "payload_digest": digest, "payload_bytes": int(_field(head, "Content-Length")) if revisit else len(payload), "refers_to_id": f.get("warc-refers-to", "").strip("<>") or None, "refers_to": _number(f.get(f"{KEY}-Referred".lower())), "refers_to_url": f.get("warc-refers-to-target-uri"), "refers_to_date": f.get("warc-refers-to-date")})
             yield pa.RecordBatch.from_pylist(out, _READ)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of a folder's WARC files but the warcinfo ones; digests are bare hexadecimal, checked against the payload."""
-    return _files(spark, path).mapInArrow(_read_rows, "record_type string, record_id string, key long, url string, date string, payload_digest string, payload_bytes long, refers_to_id string, refers_to long")
+    return _files(spark, path).mapInArrow(_read_rows, "record_type string, record_id string, key long, url string, date string, payload_digest string, payload_bytes long, refers_to_id string, refers_to long, refers_to_url string, refers_to_date string")
 
 
 def pages_round_trip(pages: DataFrame) -> DataFrame:
