@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenvec.functions.missing import NA, finite_or_null
+from lumenvec.operators import ranks
 
 STRATEGIES = ("linear", "quantile", "logarithmic")
 DEFAULT_STRATEGY, DEFAULT_BINS = "quantile", 10
@@ -76,8 +77,9 @@ def log_edges(low: float, high: float, bins: int) -> list[float]:
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
-    """Quantiles with linear interpolation; Spark's percentile does the same."""
-    return list(df.agg(F.percentile(finite_or_null(F.col(column).cast("double")), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0])
+    """Exact quantiles with linear interpolation, from ranks of a range-sorted table of distinct values."""
+    values = df.select(finite_or_null(F.col(column).cast("double")).alias("v"))
+    return ranks.quantiles(values, "v", [i / bins for i in range(bins + 1)])
 
 
 def distinct_edges(edges: Sequence[float]) -> list[float]:

@@ -34,7 +34,7 @@ def enrich(base: DataFrame, sources: Sequence[tuple[DataFrame, str, Sequence[str
     """Left joins in order: each (table, key column of base and table, columns); where a later source has a value it replaces an earlier one."""
     out = base
     for table, key, columns in sources:
-        side = table.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_n_{c}") for c in columns])
+        side = table.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_n_{c}") for c in columns]).dropDuplicates(["_k"])
         out = out.join(checked_broadcast(side), F.col(key).cast("string") == F.col("_k").cast("string"), "left")
         out = out.withColumns({c: F.coalesce(F.col(f"_n_{c}"), F.col(c)) if c in out.columns else F.col(f"_n_{c}") for c in columns}).drop("_k", *[f"_n_{c}" for c in columns])
     return out
@@ -53,7 +53,7 @@ def align_headers(headers: DataFrame, metadata: DataFrame, key: str, position: s
 
 def refill_blanks(df: DataFrame, cached: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Null and empty cells of ``columns`` from a cache; others stay."""
-    side = cached.select(F.col(key), *[F.col(c).alias(f"_c_{c}") for c in columns])
+    side = cached.select(F.col(key), *[F.col(c).alias(f"_c_{c}") for c in columns]).dropDuplicates([key])
     out = df.join(side, key, "left")
     return out.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_c_{c}"), F.col(c)) for c in columns}).drop(*[f"_c_{c}" for c in columns])
 

@@ -19,6 +19,24 @@ from pyspark.sql.window import Window
 METRICS = ("cosine", "euclidean")
 #: Vectors in a block: with 1,000 components of 8 bytes, 32 MB.
 BLOCK = 4096
+#: Pairs of vectors whose differences are held at once, and bytes of a block's vectors.
+PAIRS, BLOCK_BYTES = 8192, 32 << 20
+
+
+def block_rows(components: int) -> int:
+    """Vectors in a block of bounded bytes; a block's distances to another one are bounded by ``BLOCK`` on either side."""
+    return max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, components))))
+
+
+def held(b: pa.RecordBatch, row: int, name: str) -> pa.Array:
+    """The list that a row of a batch holds, as an array."""
+    return b.column(b.schema.get_field_index(name))[row].values
+
+
+def matrix(b: pa.RecordBatch, row: int, name: str) -> np.ndarray:
+    """A row's list of lists of equal length as a matrix."""
+    lists = held(b, row, name)
+    return np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
 
 
 def distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
@@ -27,15 +45,28 @@ def distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
         qn, rn = np.linalg.norm(q, axis=1), np.linalg.norm(r, axis=1)
         qn[qn == 0], rn[rn == 0] = 1, 1
         return np.clip(1 - (q / qn[:, None]) @ (r / rn[:, None]).T, 0, 2)
-    square = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * q @ r.T
-    return np.sqrt(np.maximum(square, 0))
-
-
-def rerank(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of one query to the rows of ``r``, without cancellation."""
-    if metric == "cosine":
-        return distances(q[None, :], r, metric)[0]
-    return np.sqrt(((r - q) ** 2).sum(1))
+    whole = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :]
+    square = np.maximum(whole - 2 * q @ r.T, 0)
+    # Where nearly all digits cancel, the difference is taken pair by pair.
+    i, j = np.nonzero(square < 1e-6 * whole)
+    for lo in range(0, len(i), PAIRS):
+        at, to = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+        square[at, to] = ((q[at] - r[to]) ** 2).sum(1)
+    return np.sqrt(square)
+
+
+def rerank(q: np.ndarray, r: np.ndarray, pool: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of each query to the rows of ``r`` in its pool, without cancellation."""
+    out = np.empty(pool.shape)
+    step = max(1, PAIRS // max(1, pool.shape[1]))
+    for lo in range(0, len(q), step):
+        a, c = q[lo : lo + step, None, :], r[pool[lo : lo + step]]
+        if metric == "cosine":
+            norm = np.linalg.norm(a, axis=2) * np.linalg.norm(c, axis=2)
+            out[lo : lo + step] = np.clip(1 - np.divide((a * c).sum(2), norm, out=np.zeros(norm.shape), where=norm > 0), 0, 2)
+        else:
+            out[lo : lo + step] = np.sqrt(((c - a) ** 2).sum(2))
+    return out
 
 
 def _blocks(df: DataFrame, id_col: str, vec_col: str, prefix: str, size: int) -> DataFrame:
@@ -44,30 +75,23 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, prefix: str, size: int) ->
     return rows.groupBy(block.alias(f"{prefix}_block")).agg(F.collect_list("i").alias(f"{prefix}_ids"), F.collect_list("v").alias(f"{prefix}_vecs"))
 
 
-def _pairs(k: int, metric: str, id_types: tuple[pa.DataType, pa.DataType]):
-    schema = pa.schema([("query_id", id_types[0]), ("ref_id", id_types[1]), ("distance", pa.float64())])
+def _pairs(k: int, metric: str):
+    """Of each query of a block, the nearest of a block of references; a pool of more than ``k`` by matrix product, measured again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                q, r = np.array(row["q_vecs"], np.float64), np.array(row["r_vecs"], np.float64)
+            for row in range(b.num_rows):
+                q, r = matrix(b, row, "q_vecs"), matrix(b, row, "r_vecs")
                 d = distances(q, r, metric)
-                n = min(k + 16, len(r))
+                n = min(max(2 * k, k + 16), len(r))
                 pool = np.argpartition(d, n - 1, axis=1)[:, :n]
-                qi, ri, di = [], [], []
-                for i, at in enumerate(pool):
-                    qi += [row["q_ids"][i]] * n
-                    ri += [row["r_ids"][j] for j in at]
-                    di.append(rerank(q[i], r[at], metric))
-                yield pa.RecordBatch.from_arrays([pa.array(qi, id_types[0]), pa.array(ri, id_types[1]), pa.array(np.concatenate(di))], schema=schema)
+                exact = rerank(q, r, pool, metric)
+                yield pa.RecordBatch.from_arrays([held(b, row, "q_ids").take(pa.array(np.repeat(np.arange(len(q)), n))), held(b, row, "r_ids").take(pa.array(pool.ravel())), pa.array(exact.ravel())], ["query_id", "ref_id", "distance"])
 
     return run
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", digits: int = 9, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", digits: int = 9, block: int | None = None) -> DataFrame:
     """query_id, ref_id, distance, rank: the ``k`` nearest references of each query (all, if fewer).
 
     Ties within ``digits`` decimals go to the smaller reference id, so ranks don't hang on the last bits of a sum.
@@ -76,10 +100,13 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, metric: str = "cosine",
         raise ValueError("k must be at least 1")
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    if block is None:
+        some = refs.select(F.size(vec_col)).first()
+        block = block_rows(some[0] if some else 1)
     q, r = _blocks(queries, id_col, vec_col, "q", block), _blocks(refs, id_col, vec_col, "r", block)
     kinds = dict(queries.dtypes)[id_col], dict(refs.dtypes)[id_col]
     pairs = q.crossJoin(r).select("q_ids", "q_vecs", "r_ids", "r_vecs")
-    found = pairs.mapInArrow(_pairs(k, metric, (_ARROW[kinds[0]], _ARROW[kinds[1]])), f"query_id {kinds[0]}, ref_id {kinds[1]}, distance double")
+    found = pairs.mapInArrow(_pairs(k, metric), f"query_id {kinds[0]}, ref_id {kinds[1]}, distance double")
     w = Window.partitionBy("query_id").orderBy(F.round("distance", digits), "ref_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenvec.functions.missing import NA
+from lumenvec.operators import ranks
 
 OTHER = "Other"
 SHAPES = 6
@@ -16,9 +17,10 @@ MODES = ("size-desc", "size-asc", "alpha-asc", "alpha-desc", "manual", "manual-r
 
 
 def natural_key(c: Column) -> Column:
-    """A key whose plain order is the case-insensitive, number-aware order: each run of digits is padded to 20."""
+    """A key whose plain order is the case-insensitive, number-aware order: each run of digits stands behind its length, zeros at its start taken off."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x)), "")
+    bare = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.format_string("0%09d", F.length(bare(x))), bare(x))).otherwise(x)), "")
 
 
 def frequencies(rows: DataFrame, labels: str, known: DataFrame | None = None) -> DataFrame:
@@ -61,10 +63,13 @@ def top_k(
     first = F.col("value").isin(*shown) if shown else F.lit(True)
     barred = F.lit(False) if merge is None or not shown else F.col("value") == merge
     barred = barred | (~first if isolated and shown else F.lit(False))
-    ranked = named.withColumns({"first": first, "barred": barred}).withColumn("rank", F.row_number().over(Window.orderBy(F.col("barred").cast("int"), F.col("first").desc(), *order_of(mode, numeric_source))))
-    kept = (F.col("rank") <= k) & ~F.col("barred")
-    split = ranked.select(F.when(kept, F.col("value")).otherwise(F.lit(OTHER)).alias("value"), "n", F.when(kept, F.col("rank")).alias("rank"), (~kept).alias("is_other"))
-    return split.groupBy("value", "rank", "is_other").agg(F.sum("n").alias("n"))
+    order = [F.col("first").desc(), *order_of(mode, numeric_source)]
+    # Each task keeps its first k; only k rows are numbered, and all others are a sum less theirs.
+    top = named.withColumn("first", first).filter(~barred).orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    top = top.select("value", "rank", F.lit(False).alias("is_other"), "n")
+    every = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(top.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("m"), F.count(F.lit(1)).alias("d"))))
+    rest = every.filter("c > d").select(F.lit(OTHER).alias("value"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("is_other"), (F.col("n") - F.col("m")).alias("n"))
+    return top.unionByName(rest)
 
 
 def silhouette_order(descending: bool = True) -> list[Column]:
@@ -79,8 +84,8 @@ def dictionary(rows: DataFrame, labels: str, position: str, by_frequency: bool =
     each = at.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("p", "j")).alias("seen"))
     empty = rows.filter(F.size(F.coalesce(F.col(labels), F.array())) == 0).groupBy().agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(F.lit(NA).alias("value"), "n", F.struct(F.lit(None).cast("long").alias("p"), F.lit(None).cast("int").alias("j")).alias("seen"))
     both = each.withColumn("last", F.lit(0)).unionByName(empty.withColumn("last", F.lit(1)))
-    order = [F.col("last"), F.col("n").desc(), F.col("seen")] if by_frequency else [F.col("last"), F.col("seen")]
-    return both.select("value", "n", (F.row_number().over(Window.orderBy(*order)) - 1).alias("idx"))
+    order = [F.col("last"), -F.col("n"), F.col("seen")] if by_frequency else [F.col("last"), F.col("seen")]
+    return ranks.numbered(both, order, "idx", 0).select("value", "n", F.col("idx").cast("int").alias("idx"))
 
 
 def colors_and_shapes(idx: Column, palette: int, shapes: int = SHAPES) -> tuple[Column, Column]:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenvec.functions.missing import stats_missing
-from lumenvec.operators.knn import distances
+from lumenvec.operators import ranks
+from lumenvec.operators.knn import distance, distances, held, matrix, nearest
 
 BLOCK = 1024
 SCHEMA = "space_kind string, space_name string, annotation string, stat_family string, label_kind string, metric string, metric_kind string, value double, category string, extra_json string"
@@ -32,14 +33,15 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each point of a block: the sum of Euclidean distances to each category of the other block."""
     schema = pa.schema([("id", pa.int64()), ("own", pa.string()), ("other", pa.string()), ("s", pa.float64()), ("n", pa.int64())])
     for b in batches:
-        for r in b.to_pylist():
-            d = distances(np.array(r["a_v"]), np.array(r["b_v"]), "euclidean")
-            d[np.array(r["a_id"])[:, None] == np.array(r["b_id"])[None, :]] = 0
-            names, code = np.unique(np.array(r["b_c"], dtype=object).astype(str), return_inverse=True)
+        for row in range(b.num_rows):
+            ids, own = held(b, row, "a_id"), held(b, row, "a_c")
+            d = distances(matrix(b, row, "a_v"), matrix(b, row, "b_v"), "euclidean")
+            d[np.asarray(ids)[:, None] == np.asarray(held(b, row, "b_id"))[None, :]] = 0
+            named = held(b, row, "b_c").dictionary_encode()
+            names, code, n = named.dictionary, np.asarray(named.indices), len(ids)
             sums = d @ np.eye(len(names))[code]
-            counts = np.bincount(code)
-            n = len(r["a_id"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r["a_id"], len(names))), pa.array(np.repeat(np.array(r["a_c"], dtype=object), len(names)).tolist(), pa.string()), pa.array(np.tile(names, n).tolist(), pa.string()), pa.array(sums.ravel()), pa.array(np.tile(counts, n), pa.int64())], schema=schema)
+            each = pa.array(np.repeat(np.arange(n), len(names)))
+            yield pa.RecordBatch.from_arrays([ids.take(each), own.take(each), names.take(pa.array(np.tile(np.arange(len(names)), n))), pa.array(sums.ravel()), pa.array(np.tile(np.bincount(code, minlength=len(names)), n), pa.int64())], schema=schema)
 
 
 def silhouette_samples(df: DataFrame) -> DataFrame:
@@ -121,62 +123,97 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(ari.alias("ari"), nmi.alias("nmi"))
 
 
-def _ranks(v: str, metric: str, digits: int):
-    """For each pair of blocks: distances of all pairs of different points."""
+def _pair_rows(v: str, metric: str, digits: int):
+    """For each pair of blocks: distances of all pairs of different points, the smaller id first."""
     schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                ai, bi = np.array(r["a_id"]), np.array(r["b_id"])
-                d = distances(np.array(r[f"a_{v}"]), np.array(r[f"b_{v}"]), metric).round(digits)
-                i, j = np.nonzero(ai[:, None] != bi[None, :])
+            for row in range(b.num_rows):
+                ai, bi = np.asarray(held(b, row, "a_id")), np.asarray(held(b, row, "b_id"))
+                d = distances(matrix(b, row, f"a_{v}"), matrix(b, row, f"b_{v}"), metric).round(digits)
+                i, j = np.nonzero(ai[:, None] < bi[None, :])
                 yield pa.RecordBatch.from_arrays([pa.array(ai[i]), pa.array(bi[j]), pa.array(d[i, j])], schema=schema)
 
     return run
 
 
 def pair_distances(df: DataFrame, v: str, metric: str = "euclidean", digits: int = 9) -> DataFrame:
-    """(i, j, d) for all ordered pairs of points, rounded so that ties are ties. For samples: the number of pairs is quadratic."""
+    """(i, j, d) for all pairs of points, i < j, rounded so that ties are ties: the statistic itself is over all pairs."""
     a, b = _blocks(df, ["id", v], "a"), _blocks(df, ["id", v], "b")
-    return a.crossJoin(b).mapInArrow(_ranks(v, metric, digits), "i long, j long, d double")
+    return a.crossJoin(b).mapInArrow(_pair_rows(v, metric, digits), "i long, j long, d double")
 
 
-def neighbour_ranks(df: DataFrame, v: str, metric: str = "euclidean", digits: int = 9) -> DataFrame:
-    """(i, j, rank) of all other points of each point, the smaller id on ties."""
-    return pair_distances(df, v, metric, digits).withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).select("i", "j", "rank")
+def other_neighbours(df: DataFrame, v: str, k: int, metric: str) -> DataFrame:
+    """(i, j): the ``k`` nearest other points of each point, the smaller id on ties."""
+    found = nearest(df, df, k + 1, metric, "id", v).filter("query_id <> ref_id")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("r") <= k).select(F.col("query_id").alias("i"), F.col("ref_id").alias("j"))
+
+
+def _nearer(v: str, metric: str, digits: int):
+    """For each target of a block's points: how many of the other block's points come before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                ids, bi = held(b, row, "a_id"), np.asarray(held(b, row, "b_id"))
+                d = distances(matrix(b, row, f"a_{v}"), matrix(b, row, f"b_{v}"), metric).round(digits)
+                d[np.asarray(ids)[:, None] == bi[None, :]] = np.inf
+                lists = held(b, row, "a_to")
+                at, (to, far) = np.asarray(lists.offsets), lists.flatten().flatten()
+                who, to_id, to_far = np.repeat(np.arange(len(ids)), np.diff(at)), np.asarray(to), np.asarray(far)
+                n = np.zeros(len(who), np.int64)
+                for lo in range(0, len(who), BLOCK):
+                    s = slice(lo, lo + BLOCK)
+                    mine, edge = d[who[s]], to_far[s, None]
+                    n[s] = ((mine < edge) | ((mine == edge) & (bi[None, :] < to_id[s, None]))).sum(1)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), to, pa.array(n)], ["i", "j", "n"])
+
+    return run
+
+
+def ranks_of(df: DataFrame, pairs: DataFrame, v: str, metric: str, digits: int = 9) -> DataFrame:
+    """(i, j, rank) of ``pairs`` (i, j): j's place among all other points around i. Only counts leave a pair of blocks."""
+    side = lambda x: df.select(F.col("id").alias(x), F.col(v).alias(f"_{x}"))
+    far = F.round(distance(F.col("_i").cast("array<double>"), F.col("_j").cast("array<double>"), metric), digits)
+    to = pairs.join(side("i"), "i").join(side("j"), "j").groupBy("i").agg(F.collect_list(F.struct("j", far.alias("d"))).alias("to"))
+    points = df.select("id", v).join(to, F.col("id") == F.col("i"))
+    a, b = _blocks(points, ["id", v, "to"], "a"), _blocks(df, ["id", v], "b")
+    counts = a.crossJoin(b).mapInArrow(_nearer(v, metric, digits), "i long, j long, n long")
+    return counts.groupBy("i", "j").agg((F.sum("n") + 1).alias("rank"))
 
 
 def clamp_k(k: int, n: int) -> int:
     return max(1, min(k, (n - 1) // 2))
 
 
-def faithfulness(df: DataFrame, k: int = 10, metric: str = "cosine", high: str = "v", low: str = "xy") -> DataFrame:
-    """(knn_overlap, trustworthiness, continuity) of a layout (``low``) of vectors (``high``); no row under three points."""
-    n = df.count()
-    if n < 3:
-        return df.sparkSession.createDataFrame([], "knn_overlap double, trustworthiness double, continuity double")
+def faithfulness(df: DataFrame, k: int = 10, metric: str = "cosine", high: str = "v", low: str = "xy", max_rows: int | None = None) -> DataFrame:
+    """(knn_overlap, trustworthiness, continuity) of a layout (``low``) of vectors (``high``); no row under three points.
+
+    Each point's ``k`` neighbours in one space get their ranks in the other; no pair but these leaves a block. With
+    ``max_rows`` a larger table is skipped: the one row is null then.
+    """
+    n, schema = df.count(), "knn_overlap double, trustworthiness double, continuity double"
+    if n < 3 or max_rows is not None and n > max_rows:
+        return df.sparkSession.createDataFrame([(None, None, None)] if n > 2 else [], schema)
     k = clamp_k(k, n)
-    h, lo = neighbour_ranks(df, high, metric), neighbour_ranks(df, low).withColumnRenamed("rank", "low")
-    both = h.join(lo, ["i", "j"])
+    in_high = ranks_of(df, other_neighbours(df, low, k, "euclidean"), high, metric)
+    in_low = ranks_of(df, other_neighbours(df, high, k, metric), low, "euclidean")
     norm = 2.0 / (n * k * (2.0 * n - 3.0 * k - 1.0))
-    near_h, near_l = F.col("rank") <= k, F.col("low") <= k
-    return both.agg(
-        (F.count_if(near_h & near_l) / (n * k)).alias("knn_overlap"),
-        (1 - F.coalesce(F.sum(F.when(near_l & ~near_h, F.col("rank") - k)), F.lit(0)) * norm).alias("trustworthiness"),
-        (1 - F.coalesce(F.sum(F.when(near_h & ~near_l, F.col("low") - k)), F.lit(0)) * norm).alias("continuity"),
-    )
+    over = 1 - F.sum(F.greatest(F.col("rank") - k, F.lit(0))) * norm
+    one = in_high.agg((F.count_if(F.col("rank") <= k) / (n * k)).alias("knn_overlap"), over.alias("trustworthiness"))
+    return one.crossJoin(F.broadcast(in_low.agg(over.alias("continuity"))))  # one row each
 
 
 def triplet_accuracy(df: DataFrame, per_point: int = 5, metric: str = "cosine", high: str = "v", low: str = "xy") -> DataFrame:
     """(value): how often two other points, drawn by hash, are in the same order of distance in both spaces.
 
-    ``df`` carries ``pos`` from 0 to n - 1.
+    ``df`` carries ``pos`` from 0 to n - 1 in the order of ids, so the draw hangs on nothing but the set of ids; nothing under three points.
     """
-    from lumenvec.operators.knn import distance
-
     n = df.count()
-    draw = lambda salt, m: F.pmod(F.crc32(F.concat_ws(":", F.col("pos").cast("string"), F.col("t").cast("string"), F.lit(salt)).cast("binary")), F.lit(m)) + 1
+    if n < 3:
+        return df.sparkSession.createDataFrame([], "value double")
+    draw = lambda salt, m: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("pos").cast("string"), F.col("t").cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long"), F.lit(m)) + 1
     t = df.select("pos", F.col(high).alias("h"), F.col(low).alias("l"), F.explode(F.sequence(F.lit(1), F.lit(per_point))).alias("t")).withColumn("oj", draw("j", n - 1)).withColumn("om", draw("m", n - 2))
     t = t.withColumn("om", F.col("om") + (F.col("om") >= F.col("oj")).cast("int"))
     t = t.withColumns({"pj": (F.col("pos") + F.col("oj")) % n, "pm": (F.col("pos") + F.col("om")) % n})
@@ -186,17 +223,11 @@ def triplet_accuracy(df: DataFrame, per_point: int = 5, metric: str = "cosine",
     return t.agg(F.avg((closer("h", "hj", "hm", metric) == closer("l", "lj", "lm", "euclidean")).cast("double")).alias("value"))
 
 
-def midranks(df: DataFrame, c: str, name: str) -> DataFrame:
-    w = Window.orderBy(c)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(c))
-    return df.withColumn(name, F.rank().over(w) + (ties - 1) / 2)
-
-
 def spearman_distances(df: DataFrame, metric: str = "cosine", high: str = "v", low: str = "xy") -> DataFrame:
     """(value): rank correlation of all distances in both spaces, ties by mean rank; null where one of them is constant."""
-    h = pair_distances(df, high, metric).filter("i < j").withColumnRenamed("d", "dh")
-    both = h.join(pair_distances(df, low).filter("i < j").withColumnRenamed("d", "dl"), ["i", "j"])
-    ranked = midranks(midranks(both, "dh", "rh"), "dl", "rl")
+    h = pair_distances(df, high, metric).withColumnRenamed("d", "dh")
+    both = h.join(pair_distances(df, low).withColumnRenamed("d", "dl"), ["i", "j"])
+    ranked = ranks.midranks(ranks.midranks(both, "dh", "rh"), "dl", "rl")
     return ranked.agg(F.when((F.stddev_pop("rh") > 0) & (F.stddev_pop("rl") > 0), F.corr("rh", "rl")).alias("value"))
 
 

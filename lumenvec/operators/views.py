@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenvec.operators import ranks
+
 PADDING = 0.05
 
 
@@ -113,6 +115,6 @@ def badges(stacks: DataFrame, window: tuple[float, float, float, float], cap: in
     return stacks.filter(in_box(F.col("x"), F.col("y"), *window)).orderBy(F.desc("n"), "x", "y").limit(cap)
 
 
-def depth_order(df: DataFrame, depth: str, idx: str) -> DataFrame:
+def depth_order(df: DataFrame, depth: str, idx: str, bucket_rows: int = ranks.BUCKET_ROWS) -> DataFrame:
     """``df`` with the order in which to draw: farthest first, then by index."""
-    return df.withColumn("draw", F.row_number().over(Window.orderBy(F.desc(depth), idx)))
+    return ranks.numbered(df, [-F.col(depth), F.col(idx)], "draw", bucket_rows=bucket_rows)

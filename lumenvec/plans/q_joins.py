@@ -175,12 +175,12 @@ def agg8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg9",
-    """WITH h AS (SELECT l_orderkey AS id, l_returnflag AS db, 'ACC' || (l_partkey % 3) AS acc, CASE WHEN l_linenumber % 2 = 0 THEN 'name' || l_linenumber END AS name, CASE WHEN l_quantity > 10 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS score, l_linenumber * 100000 + l_partkey AS pos FROM lineitem WHERE l_orderkey < 400),
-e AS (SELECT id, db, acc, arg_min(name, pos) FILTER (name IS NOT NULL) AS name, string_agg(score, ',' ORDER BY pos) AS scores FROM h GROUP BY ALL)
+    """WITH h AS (SELECT l_orderkey AS id, l_returnflag AS db, 'ACC' || (l_partkey % 3) AS acc, CASE WHEN l_linenumber % 2 = 0 THEN 'name' || l_linenumber END AS name, CASE WHEN l_quantity > 10 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) END AS score, l_linenumber * 100000 + l_partkey AS pos FROM lineitem),
+e AS (SELECT id, db, acc, arg_min(name, pos) FILTER (name IS NOT NULL) AS name, string_agg(score, ',' ORDER BY pos, score) AS scores FROM h GROUP BY ALL)
 SELECT id, db, string_agg(acc || CASE WHEN name IS NULL THEN '' ELSE ' (' || name || ')' END || CASE WHEN scores IS NULL THEN '' ELSE '|' || scores END, ';' ORDER BY acc) AS cell FROM e GROUP BY ALL""",
 )
 def agg9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, n = t(spark, sf_dir, "lineitem").filter("l_orderkey < 400"), F.col("l_linenumber")
+    li, n = t(spark, sf_dir, "lineitem"), F.col("l_linenumber")
     return joins.domain_hits(
         li.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("db"), F.concat(F.lit("ACC"), F.col("l_partkey") % 3).alias("accession"), F.when(n % 2 == 0, F.concat(F.lit("name"), n)).alias("name"), F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("int").cast("string")).alias("score"), (n * 100000 + F.col("l_partkey")).alias("pos"))
     )

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.operators import stats
+from lumenvec.operators import ranks, stats
 from lumenvec.plans.registry import query
 
-P = "p AS (SELECT vec_id AS id, CASE WHEN vec_id = 3 THEN 'alone' ELSE label::VARCHAR END AS c, embedding::DOUBLE[] AS v, embedding[1:2]::DOUBLE[] AS xy FROM embeddings WHERE vec_id < 300)"
+P = "p AS (SELECT vec_id AS id, CASE WHEN vec_id = 3 THEN 'alone' ELSE label::VARCHAR END AS c, embedding::DOUBLE[] AS v, embedding[1:2]::DOUBLE[] AS xy FROM embeddings)"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """300 points, one of them a category by itself (the metrics are defined on such samples)."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 300")
+    """All vectors, one of them a category by itself, with their first two components as a layout."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     v = F.col("embedding").cast("array<double>")
     return e.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") == 3, "alone").otherwise(F.col("label").cast("string")).alias("c"), v.alias("v"), F.slice(v, 1, 2).alias("xy"))
 
@@ -71,9 +71,22 @@ def sta9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.faithfulness(points(spark, sf_dir), 10, "euclidean").select(F.round("trustworthiness", 6).alias("trustworthiness"), F.round("continuity", 6).alias("continuity"))
 
 
-@query("sta10")
+def _cos(a: str, b: str) -> str:
+    return f"round(greatest(0.0::DOUBLE, least(2.0::DOUBLE, 1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))), 9)"
+
+
+@query(
+    "sta10",
+    f"""WITH {P}, o AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM p), n AS (SELECT count(*) AS n FROM p),
+t AS (SELECT pos, v, xy, unnest(range(1, 6)) AS t FROM o),
+j AS (SELECT *, ('0x' || substr(md5(pos || ':' || t || ':j'), 1, 8))::BIGINT % (n - 1) + 1 AS oj, ('0x' || substr(md5(pos || ':' || t || ':m'), 1, 8))::BIGINT % (n - 2) + 1 AS m0 FROM t, n),
+m AS (SELECT *, m0 + (m0 >= oj)::INT AS om FROM j)
+SELECT round(avg((({_cos("m.v", "a.v")} < {_cos("m.v", "b.v")}) = (round(list_distance(m.xy, a.xy), 9) < round(list_distance(m.xy, b.xy), 9)))::INT), 6) AS value
+FROM m JOIN o a ON a.pos = (m.pos + oj) % n JOIN o b ON b.pos = (m.pos + om) % n""",
+)
 def sta10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.triplet_accuracy(points(spark, sf_dir).withColumn("pos", F.col("id"))).select(F.round("value", 6).alias("value"))
+    at = ranks.numbered(points(spark, sf_dir), [F.col("id")], "pos", 0)
+    return stats.triplet_accuracy(at).select(F.round("value", 6).alias("value"))
 
 
 @query("sta11", f"WITH {P}, d AS (SELECT round(list_distance(a.v, b.v), 9) AS h, round(list_distance(a.xy, b.xy), 9) AS l FROM p a JOIN p b ON a.id < b.id), r AS (SELECT rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2 AS rh, rank() OVER (ORDER BY l) + (count(*) OVER (PARTITION BY l) - 1) / 2 AS rl FROM d) SELECT round(corr(rh, rl), 6) AS value FROM r")
