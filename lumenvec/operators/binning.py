@@ -7,8 +7,9 @@ and assignment is a CASE over literal edges, so rows are read once and never joi
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from lumenvec.operators import ranks
 
 STRATEGIES = ("linear", "quantile", "logarithmic")
 DEFAULT_STRATEGY, DEFAULT_BINS = "quantile", 10
+#: Fixed value: the version that signatures name.
+ALGORITHM = "numeric-gradient-v2"
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,8 @@ class Summary:
 class Settings:
     strategy: str = DEFAULT_STRATEGY
     bins: int = DEFAULT_BINS
+    palette: str = "cividis"
+    reverse: bool = False
 
 
 def resolve_settings(persisted: dict | None = None, live: dict | None = None, bins: int = DEFAULT_BINS) -> Settings:
@@ -122,31 +127,74 @@ class Bin:
     position: float
 
 
-def format_number(x: float, integer: bool, digits: int = 2) -> str:
-    if integer and float(x).is_integer():
-        return f"{int(x)}"
-    return f"{x:.{digits}f}".rstrip("0").rstrip(".") or "0"
+def format_number(x: float, integer: bool, digits: int = 6) -> str:
+    """Whole numbers plainly; others with thousands grouped and one to ``digits`` decimals, or six significant digits below 0.001."""
+    if not math.isfinite(x):
+        return "NaN" if math.isnan(x) else "Infinity" if x > 0 else "-Infinity"
+    if integer:
+        return str(math.trunc(x))
+    if 0 < abs(x) < 0.001:
+        return _shortest(float(f"{x:.6g}"))
+    whole, _, part = f"{Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, Context(prec=400)):,f}".partition(".")
+    return f"{whole}.{part.rstrip('0') or '0'}"
 
 
-def observed_labels(ranges: Sequence[tuple[float, float]], integer: bool) -> list[str]:
-    """Labels of observed ranges, with as many digits as it takes to tell them apart (at most 12)."""
-    for digits in range(2, 13):
-        out = [format_number(a, integer, digits) if a == b else f"{format_number(a, integer, digits)} – {format_number(b, integer, digits)}" for a, b in ranges]
+def _shortest(x: float) -> str:
+    """The shortest digits that give the number back, plain down to a millionth."""
+    digits = repr(x)
+    if "e" not in digits:
+        return digits
+    power = int(digits.partition("e")[2])
+    return f"{Decimal(digits):f}" if power >= -7 + 1 else f"{digits.partition('e')[0]}e{power}"
+
+
+def serialize_number(x: float) -> str:
+    """Whole numbers plainly, others with 17 significant digits, so that different bounds never look alike."""
+    if not math.isfinite(x):
+        return format_number(x, False)
+    if float(x).is_integer():
+        return str(int(x))
+    power = int(f"{x:.16e}".partition("e")[2])
+    if -7 < power < 17:
+        return f"{Decimal(x):.{16 - power}f}"
+    return f"{f'{x:.16e}'.partition('e')[0]}e{'+' if power > 0 else ''}{power}"
+
+
+def _range_label(a: float, b: float, f: Callable[[float], str]) -> str:
+    return f(a) if a == b else f"{f(a)} - {f(b)}"
+
+
+def observed_labels(ranges: Sequence[tuple[float, float]], integer: bool, bounds: Sequence[tuple[float, float]] = ()) -> list[str]:
+    """Labels of observed ranges, with more digits until they differ; then the bins' exact bounds, at last with numbers."""
+    for digits in (6, 8, 10, 12, 14, 16):
+        out = [_range_label(a, b, lambda x: format_number(x, integer, digits)) for a, b in ranges]  # noqa: B023
         if len(set(out)) == len(out):
-            break
-    return out
+            return out
+    out = [_range_label(a, b, serialize_number) for a, b in bounds or ranges]
+    return out if len(set(out)) == len(out) else [f"{x} ({i + 1})" for i, x in enumerate(out)]
 
 
 def bin_id(strategy: str, lower: float, upper: float) -> str:
-    return f"num:{strategy}:{lower:g}:{upper:g}"
+    return f"num:{strategy}:{serialize_number(lower)}:{serialize_number(upper)}"
 
 
-def signature(settings: Settings, bins: Sequence[Bin]) -> int:
-    """A 32-bit hash of settings and bins: each character after 33 times what came before."""
+def _hash32(text: str) -> str:
+    """Each character, by exclusive or, after 33 times what came before; 32 bits in hexadecimal."""
     h = 5381
-    for ch in "|".join([settings.strategy, str(settings.bins), *[b.id for b in bins]]):
-        h = (h * 33 + ord(ch)) & 0xFFFFFFFF
-    return h
+    for unit in memoryview(text.encode("utf-16-le")).cast("H"):
+        h = (h * 33 & 0xFFFFFFFF) ^ unit
+    return f"{h:08x}"
+
+
+def signature(settings: Settings, bins: Sequence[Bin]) -> str:
+    """A hash of all that a binned column's colours hang on."""
+    each = ["|".join([b.id, serialize_number(b.lower), serialize_number(b.upper), str(b.count), serialize_number(b.position)]) for b in bins]
+    return _hash32("::".join([ALGORITHM, settings.strategy, str(settings.bins), settings.palette, "reversed" if settings.reverse else "forward", *each]))
+
+
+def topology(strategy: str, bins: Sequence[Bin]) -> str:
+    """A hash of the bins' bounds alone."""
+    return _hash32("::".join([strategy, *["|".join([b.id, serialize_number(b.lower), serialize_number(b.upper)]) for b in bins]]))
 
 
 def color_positions(strategy: str, bins: Sequence[tuple[float, float, int]], low: float, high: float) -> list[float]:
@@ -178,7 +226,7 @@ def materialize(df: DataFrame, column: str, settings: Settings = Settings()) ->
     raw = assign(F.col(column).cast("double"), edges)
     held = df.select(raw.alias("b"), F.col(column).cast("double").alias("v")).filter("b is not null").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
     positions = color_positions(strategy, [(edges[r["b"]], edges[r["b"] + 1], r["n"]) for r in held], s.min, s.max)
-    labels = observed_labels([(r["lo"], r["hi"]) for r in held], s.all_integers)
+    labels = observed_labels([(r["lo"], r["hi"]) for r in held], s.all_integers, [(edges[r["b"]], edges[r["b"] + 1]) for r in held])
     bins = [Bin(bin_id(strategy, edges[r["b"]], edges[r["b"] + 1]), label, edges[r["b"]], edges[r["b"] + 1], r["n"], p) for r, label, p in zip(held, labels, positions, strict=True)]
     number = F.lit(len(held))
     for i, r in enumerate(held):

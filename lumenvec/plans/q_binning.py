@@ -71,17 +71,31 @@ def bin5_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).select("id", b.assign(F.col("v"), [1000.0, 20000.0, 50000.0]).alias("b"))
 
 
-@query("bin6")
+@query(
+    "bin6",
+    """WITH e AS (SELECT quantile_cont(o_totalprice, [0, 1/6, 2/6, 3/6, 4/6, 5/6, 1]) AS e FROM orders),
+b AS (SELECT o_totalprice AS v, CASE WHEN v < e[2] THEN 0 WHEN v < e[3] THEN 1 WHEN v < e[4] THEN 2 WHEN v < e[5] THEN 3 WHEN v < e[6] THEN 4 ELSE 5 END AS b FROM orders, e),
+r AS (SELECT b, count(*) AS n, regexp_replace(format('{:,.2f}', min(v)), '0$', '') AS lo, regexp_replace(format('{:,.2f}', max(v)), '0$', '') AS hi FROM b GROUP BY b)
+SELECT lo || ' - ' || hi AS label, n FROM r""",
+)
 def bin6(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = b.materialize(orders(spark, sf_dir), "v", b.Settings("quantile", 6))[1]
     return spark.createDataFrame([(x.label, x.count) for x in bins], "label string, n long")
 
 
-@query("bin7")
+_TEXT = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE format('{{:#.17g}}', {0}) END"
+
+
+@query(
+    "bin7",
+    f"""WITH m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+b AS (SELECT i, lo + (hi - lo) / 4 * i AS a, CASE WHEN i = 3 THEN hi ELSE lo + (hi - lo) / 4 * (i + 1) END AS z FROM range(4) t(i), m)
+SELECT 'num:linear:' || {_TEXT.format("a")} || ':' || {_TEXT.format("z")} AS id FROM b""",
+)
 def bin7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = b.Settings("logarithmic", 4)
-    bins = b.materialize(orders(spark, sf_dir), "v", settings)[1]
-    return spark.createDataFrame([(x.id, b.signature(settings, bins)) for x in bins], "id string, signature long")
+    """Ids of all bins that hold rows (here every one)."""
+    bins = b.materialize(orders(spark, sf_dir), "v", b.Settings("linear", 4))[1]
+    return spark.createDataFrame([(x.id,) for x in bins], "id string")
 
 
 @query(

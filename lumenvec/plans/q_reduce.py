@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,18 @@ from lumenvec.plans.registry import query
 from lumenvec.sources import bundle, entries, fasta
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder among those that driver and executors share; a session on one machine without such a setting gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if not shared:
+        return tempfile.mkdtemp()
+    path = f"{shared.removeprefix('file:').rstrip('/')}/q-{uuid.uuid4().hex}"
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
 
@@ -27,10 +40,10 @@ def dr2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.reduce_sample(vectors(spark, sf_dir), "tsne", 2, sample=200)
 
 
-@query("dr6", "SELECT i, j, round(sqrt(greatest(0, 1 - sim)), 6) AS d FROM (SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.vec_id = b.vec_id THEN 1.0::DOUBLE ELSE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) END AS sim FROM embeddings a, embeddings b WHERE a.vec_id < 40 AND b.vec_id < 40)")
+@query("dr6", "SELECT i, j, round(sqrt(greatest(0, 1 - sim)), 6) AS d FROM (SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.vec_id = b.vec_id THEN 1.0::DOUBLE ELSE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) END AS sim FROM embeddings a, embeddings b)")
 def dr6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir).filter("id < 40")
-    d = knn.nearest(v, v, 40).select(F.col("query_id").alias("i"), F.col("ref_id").alias("j"), F.when(F.col("query_id") == F.col("ref_id"), 1.0).otherwise(F.round(1 - F.col("distance"), 6)).alias("sim"))
+    v = vectors(spark, sf_dir)
+    d = knn.nearest(v, v, v.count()).select(F.col("query_id").alias("i"), F.col("ref_id").alias("j"), F.when(F.col("query_id") == F.col("ref_id"), 1.0).otherwise(F.round(1 - F.col("distance"), 6)).alias("sim"))
     return reduce.distances_from_similarity(d).select("i", "j", F.round("d", 6).alias("d"))
 
 
@@ -42,7 +55,7 @@ def dr6_mds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dr8")
 def dr8(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).select("id", "embedding")
-    return reduce.reductions({"A": v, "B": v.filter("id % 2 = 0")}, reduce.parse_methods("pca2,pca3"))
+    return reduce.reductions({"A": v, "B": v.withColumn("embedding", F.slice("embedding", 1, 8))}, reduce.parse_methods("pca2,pca3"))
 
 
 @query("sta1")
@@ -57,7 +70,7 @@ def sta3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn9", "SELECT count(*) AS n, 2::BIGINT AS k FROM embeddings WHERE vec_id % 5 = 0")
 def knn9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(tempfile.mkdtemp(), "lookup") if not (shared := spark.conf.get("spark.checkpoint.dir", None)) else f"{shared}/lookup"
+    path = f"{folder(spark)}/lookup"
     v = vectors(spark, sf_dir)
     knn.save_lookup(v.filter("id % 5 <> 0"), path, "cosine")
     out = knn.query_lookup(v.filter("id % 5 = 0"), path, 2)
@@ -65,25 +78,23 @@ def knn9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> str:
-    v = vectors(spark, sf_dir).filter("id < 100")
+    v = vectors(spark, sf_dir)
     notes = v.select(F.col("id").cast("string").alias("identifier"), F.concat(F.lit("L"), "label").alias("family"))
     meta = spark.createDataFrame([("P", 2, "{}", "test")], "projection_name string, dimensions long, info_json string, source string")
     at = v.select(F.lit("P").alias("projection_name"), F.col("id").cast("string").alias("identifier"), F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"), F.lit(None).cast("double").alias("z"))
-    path = os.path.join(tempfile.mkdtemp(), "test.bundle")
+    path = f"{folder(spark)}/test.bundle"
     bundle.write_bundle(path, notes, meta, at, {"family": {"maxVisibleValues": 10}})
     return path
 
 
-@query("src1", "SELECT vec_id::VARCHAR AS identifier, 'L' || label AS family FROM embeddings WHERE vec_id < 100")
+@query("src1", "SELECT vec_id::VARCHAR AS identifier, 'L' || label AS family FROM embeddings")
 def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as a bundle and read back through the data source (a small local file: driver and tasks share it)."""
-    path = _bundle(spark, sf_dir)
-    with open(path, "rb") as f:
-        out = bundle.extract(f.read(), os.path.join(os.path.dirname(path), "parts"))
-    return spark.read.parquet(out[0])
+    """Written as a bundle and read back through the data source."""
+    spark.dataSource.register(bundle.BundleSource)
+    return spark.read.format("bundle").option("part", "annotations").load(_bundle(spark, sf_dir))
 
 
-@query("src3", "SELECT 'annotations' AS part, 100::BIGINT AS n UNION ALL SELECT 'metadata', 1 UNION ALL SELECT 'projections', 100 UNION ALL SELECT 'settings', 1")
+@query("src3", "SELECT 'annotations' AS part, count(*) AS n FROM embeddings UNION ALL SELECT 'metadata', 1 UNION ALL SELECT 'projections', count(*) FROM embeddings UNION ALL SELECT 'settings', 1")
 def src3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _bundle(spark, sf_dir)
     with open(path, "rb") as f:
@@ -99,16 +110,17 @@ def snk3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.serialize(df, ["cell"], ["n"])
 
 
-@query("agg17")
+@query("agg17", "SELECT count(*) AS n, (sum(('0x' || substr(md5(c_custkey || '|' || c_name || '|' || c_mktsegment), 1, 15))::HUGEINT) % 18446744073709551616)::VARCHAR AS fingerprint FROM customer")
 def agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint that no order of rows changes."""
+    """A fingerprint that no order of rows changes and in which equal rows add up: 60-bit hashes summed modulo 2**64, beside the count."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c_custkey", "c_name", "c_mktsegment")).alias("fingerprint"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return c.agg(F.count(F.lit(1)).alias("n"), (F.sum(h) % F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(20,0)").cast("string").alias("fingerprint"))
 
 
 @query("src8")
 def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(tempfile.mkdtemp(), "a.fasta")
+    path = f"{folder(spark)}/a.fasta"
     with open(path, "w") as f:
         f.write(">sp|P12345|A one\nMKV\nLL\n>b\n\n>c x\nACD\n>c y\nAAA\n")
     return fasta.read_fasta(spark, path)

@@ -23,7 +23,8 @@ from pyspark.sql.types import StructType
 #: Fixed values of the format.
 DELIMITER = b"---PARQUET_DELIMITER---"
 MAGIC = b"PAR1"
-VERSION_KEY = b"protspace_format_version"
+#: A part's metadata names the format's version under any key with this ending; writers take the key as an argument.
+VERSION_ENDING, VERSION_KEY = b"_format_version", b"bundle_format_version"
 PARTS = ("annotations", "metadata", "projections", "settings", "statistics")
 MAX_BYTES = 500 << 20
 
@@ -76,14 +77,24 @@ def write_bytes(path: str, data: bytes) -> None:
 def format_version(table_or_schema: pa.Table | pa.Schema) -> int:
     """The format's version from a part's own metadata; 1 where it is absent or no number."""
     meta = (table_or_schema.schema if isinstance(table_or_schema, pa.Table) else table_or_schema).metadata or {}
-    try:
-        return int(meta.get(VERSION_KEY, b"1"))
-    except ValueError:
-        return 1
+    found = [v for k, v in meta.items() if k.endswith(VERSION_ENDING)]
+    return int(found[0]) if found and found[0].isdigit() else 1
 
 
-def stamp(table: pa.Table, version: int = 2) -> pa.Table:
-    return table.replace_schema_metadata({**(table.schema.metadata or {}), VERSION_KEY: str(version).encode()})
+def stamp(table: pa.Table, version: int = 2, key: bytes = VERSION_KEY) -> pa.Table:
+    return table.replace_schema_metadata({**(table.schema.metadata or {}), key: str(version).encode()})
+
+
+def checked_size(*tables: DataFrame) -> None:
+    """Raises, before anything is collected, where tables hold more bytes than a bundle may."""
+    total = 0
+    for t in tables:
+        each = F.lit(0).cast("long")
+        for c in t.columns:
+            each = each + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+        total += t.agg(F.sum(each)).first()[0] or 0
+    if total > MAX_BYTES:
+        raise ValueError(f"{total} bytes are more than the {MAX_BYTES} of a bundle; write plain Parquet instead")
 
 
 def _parquet(table: pa.Table) -> bytes:
@@ -96,10 +107,11 @@ def settings_table(settings: Mapping) -> pa.Table:
     return pa.table({"settings_json": [json.dumps(settings)]})
 
 
-def write_bundle(path: str, annotations: DataFrame, metadata: DataFrame, projections: DataFrame, settings: Mapping | None = None, statistics: DataFrame | None = None) -> None:
-    """Tables as a bundle; annotation columns become text with blanks for nulls, and the part is stamped."""
+def write_bundle(path: str, annotations: DataFrame, metadata: DataFrame, projections: DataFrame, settings: Mapping | None = None, statistics: DataFrame | None = None, version_key: bytes = VERSION_KEY) -> None:
+    """Tables as a bundle of bounded size; annotation columns become text with blanks for nulls, and the part is stamped."""
+    checked_size(annotations, metadata, projections, *([statistics] if statistics is not None else []))
     text = annotations.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in annotations.columns])
-    parts = {"annotations": _parquet(stamp(text.toArrow())), "metadata": _parquet(metadata.toArrow()), "projections": _parquet(projections.toArrow())}
+    parts = {"annotations": _parquet(stamp(text.toArrow(), key=version_key)), "metadata": _parquet(metadata.toArrow()), "projections": _parquet(projections.toArrow())}
     if settings is not None:
         parts["settings"] = _parquet(settings_table(settings))
     if statistics is not None:
