@@ -11,6 +11,8 @@ import pyarrow.compute  # noqa: F401
 
 #: Bytes of text handled at once inside a task; a longer text makes a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Bytes, or hashes, that a step inside a block holds at once, so that a very long text needs a few times its own size.
+SLICE = 2 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -49,15 +51,29 @@ class Words:
     n_docs: int
 
     def hashes(self, seed: int) -> np.ndarray:
-        """A polynomial over a random value for each byte, then mixed with the length."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
+        """A polynomial over a random value for each byte, then mixed with the length; ``SLICE`` bytes of words at once."""
         table, base = _random_u64(seed, 256), int(_random_u64(seed + 1, 1)[0]) | 1
-        length = self.end - self.start
-        inside = np.concatenate([[0], np.cumsum(length)])
-        place = np.arange(inside[-1], dtype=np.int64) - np.repeat(inside[:-1], length)
-        values = table[self.data[np.repeat(self.start, length) + place]] * powers(base, int(length.max()))[place]
-        return mix(np.add.reduceat(values, inside[:-1]) ^ (length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        length, out = self.end - self.start, np.zeros(len(self.start), np.uint64)
+        if not len(out):
+            return out
+        power = powers(base, min(int(length.max()), SLICE))
+        long = length > SLICE
+        for i in np.flatnonzero(long):
+            for lo in range(0, int(length[i]), SLICE):
+                part = table[self.data[self.start[i] + lo : min(self.start[i] + lo + SLICE, self.end[i])]]
+                out[i : i + 1] += (part * power[: len(part)]).sum(dtype=np.uint64, keepdims=True) * np.uint64(pow(base, lo, 1 << 64))
+        short = np.flatnonzero(~long)
+        total = np.cumsum(length[short])  # of the words that are left
+        cuts = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, SLICE), side="right"))
+        for s, e in zip(cuts, np.append(cuts[1:], len(short)), strict=True):
+            at = short[s:e]
+            n = length[at]
+            inside = np.concatenate([[0], np.cumsum(n)])
+            place = np.arange(inside[-1], dtype=np.int64) - np.repeat(inside[:-1], n)
+            out[at] = np.add.reduceat(table[self.data[np.repeat(self.start[at], n) + place]] * power[place], inside[:-1])
+        for lo in range(0, len(out), SLICE):
+            out[lo : lo + SLICE] = mix(out[lo : lo + SLICE] ^ (length[lo : lo + SLICE].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        return out
 
 
 def words_in(texts: pa.Array) -> Words:
@@ -70,15 +86,25 @@ def words_in(texts: pa.Array) -> Words:
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    last = solid.copy()
-    last[:-1] &= ~solid[1:]
     cut = offsets[:-1][(offsets[:-1] > 0) & (offsets[:-1] < len(data))]  # texts touch in the buffer, words don't
-    first[cut] = solid[cut]
-    last[cut - 1] = solid[cut - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(data), SLICE):
+        hi = min(lo + SLICE, len(data))
+        part = data[max(lo - 1, 0) : hi + 1]  # a byte more on either side, where there is one
+        solid = ~((part == 32) | ((part >= 9) & (part <= 13)))
+        here = solid[lo > 0 :][: hi - lo]
+        first, last = here.copy(), here.copy()
+        first[1:] &= ~here[:-1]
+        last[:-1] &= ~here[1:]
+        if lo > 0:
+            first[0] &= ~solid[0]
+        if hi < len(data):
+            last[-1] &= ~solid[-1]
+        begin, stop = (c[(c >= lo) & (c < hi)] - lo for c in (cut, cut - 1))
+        first[begin], last[stop] = here[begin], here[stop]
+        starts.append(np.flatnonzero(first) + lo)
+        ends.append(np.flatnonzero(last) + lo + 1)
+    start, end = np.concatenate(starts), np.concatenate(ends)
     return Words(data, start, end, np.searchsorted(offsets[1:], start, side="right"), len(texts))
 
 
@@ -91,10 +117,15 @@ def window_hashes(h: np.ndarray, width: int, seed: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = int(_random_u64(seed, 1)[0]) | 1
-    q = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(base, len(h)), out=q[1:])
-    return mix((q[width:] - q[:n]) * powers(pow(base, -1, 1 << 64), n))
+    base, out = int(_random_u64(seed, 1)[0]) | 1, np.empty(n, np.uint64)
+    up, down = powers(base, min(len(h), SLICE + width)), powers(pow(base, -1, 1 << 64), min(n, SLICE))
+    for lo in range(0, n, SLICE):  # a window's hash doesn't hang on where its sum began
+        part = h[lo : lo + SLICE + width - 1]
+        q = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=q[1:])
+        k = len(part) - width + 1
+        out[lo : lo + k] = mix((q[width:] - q[:k]) * down[:k])
+    return out
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,29 @@ def test_words_and_windows():
     assert w[0] == w[3] and len(set(w.tolist())) == 4
 
 
+def test_slices_change_nothing(monkeypatch):
+    random.seed(8)
+    samples = [None, "", " a  b\n", "x" * 500, "é\tx" * 90, " ".join(random.choice(["a", "bcd", "漢字", "w" * 70]) for _ in range(400)), "", "tail", "next"]
+
+    def all_of():
+        w = textscan.words_in(pa.array(samples))
+        return w.start.tolist(), w.end.tolist(), w.doc.tolist(), w.hashes(3).tolist(), textscan.window_hashes(w.hashes(3), 5, 4).tolist()
+
+    whole = all_of()
+    for size in (1, 7, 64, 301):
+        monkeypatch.setattr(textscan, "SLICE", size)
+        assert all_of() == whole
+
+
+def test_a_very_long_text_needs_a_few_times_its_size():
+    """In a process of its own: the peak over the text's words, hashes and windows."""
+    import subprocess
+    import sys
+
+    code = "import resource, numpy as np, pyarrow as pa\nfrom lumenvec.llm import textscan\nt = pa.array(['word and other ' * 4_000_000])\nat = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nw = textscan.words_in(t)\ntextscan.window_hashes(w.hashes(35), 35, 351)\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - at) * 1024 / 60e6)"
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout) < 14
+
+
 # Near duplicates
 
 
