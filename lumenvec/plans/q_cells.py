@@ -62,7 +62,7 @@ def prj8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("id", F.explode(cells.split_labels(F.col("cell"))).alias("label"))
 
 
-@query("prj9")
+@query("prj9", f"WITH b AS (SELECT c_custkey AS id, {CELL} AS cell, c_mktsegment AS seg FROM customer), p AS (SELECT id, CASE WHEN id % 5 = 0 THEN string_split('f(' || seg || ';y);' || cell || '(', ';') ELSE list_concat(['f(' || seg || ';y)'], string_split(cell, ';')) END AS w FROM b WHERE cell IS NOT NULL) SELECT id, unnest(range(len(w)))::INT AS pos, unnest(w) AS part FROM p")
 def prj9(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = base(spark, sf_dir).withColumn("cell", F.concat(F.lit("f("), "c_mktsegment", F.lit(";y);"), "cell", F.when(F.col("id") % 5 == 0, "(").otherwise("")))
     return df.select("id", F.posexplode(cells.split_top_level(F.col("cell"))).alias("pos", "part"))
@@ -100,7 +100,7 @@ def prj12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", cells.decode_field(u).alias("value"))
 
 
-@query("prj13")
+@query("prj13", f"SELECT id, 'f(a%3Bb);' || array_to_string(list_transform(string_split(cell, ';'), lambda x: replace(split_part(x, '|', 1), '%', '%25') || CASE WHEN contains(x, '|') THEN '|' || replace(replace(substr(x, strpos(x, '|') + 1), '%', '%25'), '|', '%7C') ELSE '' END), ';') AS value FROM ({BASE})")
 def prj13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("id", cells.migrate_cell(F.concat(F.lit("f(a;b);"), "cell")).alias("value"))
 

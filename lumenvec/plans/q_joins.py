@@ -75,7 +75,7 @@ def jn9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), "label").join(d.select(F.col("doc_id").alias("id"), "lang"), "id")
 
 
-@query("jn10")
+@query("jn10", "WITH s AS (SELECT source AS set_name, doc_id FROM documents UNION ALL SELECT 'all', doc_id FROM documents), w AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en'), k AS (SELECT set_name, count(DISTINCT doc_id) AS k FROM s JOIN w USING (doc_id) GROUP BY set_name) SELECT set_name FROM k WHERE k = (SELECT count(*) FROM w)")
 def jn10(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = t(spark, sf_dir, "documents")
     c = d.select(F.col("source").alias("set_name"), F.col("doc_id").alias("id")).unionByName(d.select(F.lit("all").alias("set_name"), F.col("doc_id").alias("id")))
@@ -96,7 +96,8 @@ def jn12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.merge_columns(e, m)
 
 
-@query("jn13")
+@query("jn13", """WITH q AS (SELECT p_type AS m, round(avg(p_size), 3) AS v FROM part GROUP BY p_type), t AS (SELECT '{' || string_agg('"' || m || '":' || v, ',' ORDER BY m) || '}' AS j FROM q)
+SELECT 'PCA 2' AS projection_name, '{"n":"2","quality":"' || replace(j, '"', chr(92) || '"') || '"}' AS info_json FROM t UNION ALL SELECT 'MDS 2', NULL""")
 def jn13(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = spark.createDataFrame([("PCA 2", '{"n": "2", "quality": "old"}'), ("MDS 2", None)], "projection_name string, info_json string")
     q = t(spark, sf_dir, "part").groupBy(F.lit("PCA 2").alias("space_name"), F.col("p_type").alias("metric")).agg(F.round(F.avg("p_size"), 3).alias("value"))
@@ -225,7 +226,7 @@ def prj20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumnRenamed("identifier", "protein_id").drop("organism_id")
 
 
-@query("prj23")
+@query("prj23", "SELECT r_name AS projection_name, unnest(['k', 'source']) AS key, unnest(['15', 'row']) AS value FROM region")
 def prj23(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = t(spark, sf_dir, "region").select(F.col("r_name").alias("projection_name"), F.lit('{"dimension": 3, "k": 15, "source": "json"}').alias("info_json"), F.lit("row").alias("source"))
     return layout.metadata_map(m)

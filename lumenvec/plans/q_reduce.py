@@ -118,7 +118,7 @@ def agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("n"), (F.sum(h) % F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(20,0)").cast("string").alias("fingerprint"))
 
 
-@query("src8")
+@query("src8", "SELECT * FROM (VALUES ('sp|P12345|A', 'MKVLL'), ('c', 'ACD')) t(id, sequence)")
 def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{folder(spark)}/a.fasta"
     with open(path, "w") as f:
@@ -126,7 +126,7 @@ def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_fasta(spark, path)
 
 
-@query("src15")
+@query("src15", "SELECT n_nationkey AS taxon, '' AS root, 'R' AS domain, '' AS kingdom, '' AS phylum, '' AS class, '' AS \"order\", '' AS family, n_name AS genus, '' AS species FROM nation")
 def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
     lineage = F.array(F.struct(F.lit("realm").alias("rank"), F.lit("R").alias("name")), F.struct(F.lit("Genus").alias("rank"), F.col("n_name").alias("name")))
