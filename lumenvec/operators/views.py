@@ -54,12 +54,19 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def duplicate_stacks(df: DataFrame, x: str = "x", y: str = "y", id_col: str = "id") -> DataFrame:
-    """(x, y, n, ids): places that two rows or more share exactly; rows off the plane don't count, and 0 is -0."""
-    at = df.filter(_finite(F.col(x)) & _finite(F.col(y))).select((F.col(x) + F.lit(0.0)).alias("x"), (F.col(y) + F.lit(0.0)).alias("y"), F.col(id_col).alias("id"))
-    # Numbers first, so that only members of stacks are gathered.
-    several = at.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return at.join(several, ["x", "y"]).groupBy("x", "y", "n").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+def _on_plane(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows with both coordinates finite, -0 as 0."""
+    return df.filter(_finite(F.col(x)) & _finite(F.col(y))).withColumns({x: F.col(x) + F.lit(0.0), y: F.col(y) + F.lit(0.0)})
+
+
+def duplicate_stacks(df: DataFrame, x: str = "x", y: str = "y", also: Sequence[Column] = ()) -> DataFrame:
+    """(x, y, n, ...): places that two rows or more share exactly, with further aggregates; rows off the plane don't count, and 0 is -0. One partial aggregate; members stay rows."""
+    return _on_plane(df, x, y).groupBy(x, y).agg(F.count(F.lit(1)).alias("n"), *also).filter("n > 1")
+
+
+def stack_members(df: DataFrame, stacks: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows of ``df`` in ``stacks``, each with its stack's n; a place that very many rows share stays that many rows."""
+    return _on_plane(df, x, y).join(stacks.select(x, y, "n"), [x, y])
 
 
 def padded_extent(df: DataFrame, x: str = "x", y: str = "y", padding: float = PADDING) -> DataFrame:

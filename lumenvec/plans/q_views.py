@@ -202,14 +202,21 @@ def agg6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agg7", "SELECT l_quantity AS x, l_discount AS y, count(*) AS n, sum(l_orderkey * 10 + l_linenumber)::BIGINT AS ids FROM lineitem WHERE l_quantity <= 40 GROUP BY ALL HAVING count(*) > 1")
 def agg7(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    s = views.duplicate_stacks(li.select(F.when(F.col("l_quantity") > 40, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("x"), F.col("l_discount").alias("y"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")))
-    return s.select("x", "y", "n", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
+    at = li.select(F.when(F.col("l_quantity") > 40, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("x"), F.col("l_discount").alias("y"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return views.duplicate_stacks(at, also=[F.sum("id").alias("ids")])
+
+
+@query("agg7_members", "WITH s AS (SELECT l_quantity AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1) SELECT l_orderkey AS id, l_linenumber AS line, n FROM lineitem JOIN s ON l_quantity = x AND l_discount = y")
+def agg7_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = li.select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"))
+    return views.stack_members(at, views.duplicate_stacks(at)).select("id", "line", "n")
 
 
 @query("top10", "WITH s AS (SELECT l_quantity AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1) SELECT x, y, n FROM s WHERE x BETWEEN 5 AND 20 ORDER BY n DESC, x, y LIMIT 20")
 def top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    s = views.duplicate_stacks(li.select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_orderkey").alias("id")))
+    s = views.duplicate_stacks(li.select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y")))
     return views.badges(s, (5, 0, 20, 1), 20).select("x", "y", "n")
 
 

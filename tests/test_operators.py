@@ -132,7 +132,9 @@ def test_binning(spark):
 
 def test_views(spark):
     rows = spark.createDataFrame([(1, 0.0, 1.0), (2, -0.0, 1.0), (3, float("nan"), 1.0), (4, 5.0, 5.0)], "id long, x double, y double")
-    assert [(r["n"], r["ids"]) for r in views.duplicate_stacks(rows).collect()] == [(2, [1, 2])]
+    stacks = views.duplicate_stacks(rows, also=[F.sum("id").alias("ids")])
+    assert [(r["x"], r["n"], r["ids"]) for r in stacks.collect()] == [(0.0, 2, 3)]
+    assert sorted((r["id"], r["n"]) for r in views.stack_members(rows, stacks).collect()) == [(1, 2), (2, 2)]
     assert rows.filter(views.in_polygon(F.col("x"), F.col("y"), ((0, 0), (1, 1)))).count() == 0
     assert one(spark, "b10", legend.natural_key) > one(spark, "B9", legend.natural_key)
 
