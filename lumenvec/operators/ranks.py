@@ -57,11 +57,15 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, start: int = 1,
     return before(df, order, None, name, bucket_rows).withColumn(name, F.col(name) + start)
 
 
-def midranks(df: DataFrame, c: str, name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``df`` with the mean rank of each value of ``c``: values are counted first, so a frequent one is one row of the sort."""
+def midrank_table(df: DataFrame, c: str, name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(``c``, ``name``): the mean rank of each value of ``c``; values are counted first, so a frequent one is one row of the sort."""
     counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = before(counts, [F.col(c)], F.col("_n"), "_before", bucket_rows)
-    return df.join(ranked.select(c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name)), c)
+    return before(counts, [F.col(c)], F.col("_n"), "_before", bucket_rows).select(c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+
+
+def midranks(df: DataFrame, c: str, name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with the mean rank of each value of ``c``."""
+    return df.join(midrank_table(df, c, name, bucket_rows), c)
 
 
 def quantiles(df: DataFrame, c: str, shares: Sequence[float], bucket_rows: int = BUCKET_ROWS) -> list[float]:

@@ -226,9 +226,12 @@ def triplet_accuracy(df: DataFrame, per_point: int = 5, metric: str = "cosine",
 def spearman_distances(df: DataFrame, metric: str = "cosine", high: str = "v", low: str = "xy") -> DataFrame:
     """(value): rank correlation of all distances in both spaces, ties by mean rank; null where one of them is constant."""
     h = pair_distances(df, high, metric).withColumnRenamed("d", "dh")
-    both = h.join(pair_distances(df, low).withColumnRenamed("d", "dl"), ["i", "j"])
-    ranked = ranks.midranks(ranks.midranks(both, "dh", "rh"), "dl", "rl")
-    return ranked.agg(F.when((F.stddev_pop("rh") > 0) & (F.stddev_pop("rl") > 0), F.corr("rh", "rl")).alias("value"))
+    # The pairs are kept for the passes that rank them, on either side; the result is one row.
+    both = h.join(pair_distances(df, low).withColumnRenamed("d", "dl"), ["i", "j"]).select("dh", "dl").persist()
+    ranked = both.join(ranks.midrank_table(both, "dh", "rh"), "dh").join(ranks.midrank_table(both, "dl", "rl"), "dl")
+    value = ranked.agg(F.when((F.stddev_pop("rh") > 0) & (F.stddev_pop("rl") > 0), F.corr("rh", "rl"))).first()[0]
+    both.unpersist()
+    return df.sparkSession.createDataFrame([(value,)], "value double")
 
 
 def suitable_columns(df: DataFrame, id_col: str, max_card: int = 50) -> list[str]:
