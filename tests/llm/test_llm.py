@@ -232,23 +232,58 @@ def test_secret_spans_at_stops_and_slashes():
 # Packing
 
 
-def test_best_fit_rounds():
+def best_fit_decreasing(lengths, capacity=1024):
+    """The number of sequences, piece by piece."""
+    gaps, n = Counter(), 0
+    for length in sorted(lengths, reverse=True):
+        room = min((g for g in gaps if g >= length and gaps[g]), default=None)
+        if room is None:
+            room, n = capacity, n + 1
+        else:
+            gaps[room] -= 1
+        gaps[room - length] += 1
+    return n
+
+
+@pytest.mark.parametrize("spread", [1024, 300, 5])
+def test_rounds_against_best_fit_decreasing(spark, spread):
     random.seed(3)
-    for spread in (1024, 100, 5):
-        counts = Counter(random.choice([random.randint(1, spread), 500]) for _ in range(3000))
-        moves, n = packing.best_fit_rounds(counts)
-        fill = defaultdict(list)
-        for m in moves:
-            for j in range(m.first, m.last):
-                fill[m.sequence + (j - m.first) // m.each].append((m.offset + (j - m.first) % m.each * m.length, m.length))
-        assert len(fill) == n and sum(map(len, fill.values())) == sum(counts.values())
-        for pieces in fill.values():
-            at = 0
-            for offset, length in sorted(pieces):
-                assert offset == at
-                at += length
-            assert at <= 1024
-        assert n <= 1.03 * sum(k * v for k, v in counts.items()) / 1024 + 2
+    lengths = [random.choice([random.randint(1, spread), 500]) for _ in range(3000)]
+    pieces = spark.createDataFrame([(i, x, i) for i, x in enumerate(lengths)], "id long, length int, seq long").repartition(5, "id")
+    got = packing.pack(packing.written(pieces, "test_pieces")).collect()
+    assert sorted(r["id"] for r in got) == list(range(3000)) and all(r["seq"] == r["id"] and r["length"] == lengths[r["id"]] for r in got)
+    fill = defaultdict(list)
+    for r in got:
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    for inside in fill.values():
+        at = 0
+        for offset, length in sorted(inside):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(fill) <= 1.02 * best_fit_decreasing(lengths) + 1
+
+
+def test_sweep_over_bounds_is_the_sweep_of_one_range():
+    random.seed(5)
+    for _ in range(200):
+        gap = np.array([random.random() < 0.5 for _ in range(60)])
+        cuts = [0, *sorted(random.sample(range(1, 60), 7)), 60]
+        pairs, free = set(), []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            docs, slots = packing._matches(gap[lo:hi])
+            pairs |= set(zip((docs + lo).tolist(), (slots + lo).tolist(), strict=True))
+            mine = [i for i in range(lo, hi) if i - lo not in {*docs.tolist(), *slots.tolist()}]
+            free.append(([i for i in mine if gap[i]], [i for i in mine if not gap[i]]))
+        ids = {True: {}, False: {}}
+        rows, number = packing.across([(p, len(s), len(d)) for p, (s, d) in enumerate(free)])
+        for is_gap, p, lo, hi, base, sign in rows:
+            for k in range(lo, hi):
+                ids[is_gap][base + sign * k] = free[p][0 if is_gap else 1][k]
+        assert set(ids[True]) == set(ids[False]) == set(range(number))
+        pairs |= {(ids[False][m], ids[True][m]) for m in range(number)}
+        whole = packing._matches(gap)
+        assert pairs == set(zip(*(x.tolist() for x in whole), strict=True))
 
 
 def test_encoder_gives_the_tokenizers_ids():
