@@ -32,6 +32,8 @@ from lumenvec.llm.textscan import blocks, mix, window_hashes, words_in
 WIDTH = 35
 #: Text for which there is a bucket of hashes: about a million windows.
 BUCKET_BYTES = 8 << 20
+#: Buckets that a task has to read, where the session doesn't ask for more tasks: exchanges grow with the text.
+TASK_BUCKETS = 4
 
 _ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("kind", pa.int8()), ("hashes", pa.binary()), ("places", pa.binary()), ("wide", pa.bool_()), ("docs", pa.list_(pa.int64())), ("text_hashes", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 _ENTRY_SQL = "bucket long, block string, kind byte, hashes binary, places binary, wide boolean, docs array<long>, text_hashes array<long>, ends array<long>"
@@ -140,9 +142,10 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(8, -(-total // BUCKET_BYTES))
-    entries = rows.mapInArrow(_entries(width, n_buckets, uuid.uuid4().hex), _ENTRY_SQL)
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_buckets // TASK_BUCKETS))
+    entries = rows.mapInArrow(_entries(width, n_buckets, uuid.uuid4().hex), _ENTRY_SQL).repartition(n_parts, "bucket")
     answers = entries.groupBy("bucket").applyInArrow(_answers, _ENTRY_SQL).filter(F.col("kind").isin(_DIRECTORY, _ANSWER))
-    found = answers.groupBy("block").applyInArrow(_intervals(width), "doc_id long, th long, starts array<int>, stops array<int>")
+    found = answers.repartition(n_parts, "block").groupBy("block").applyInArrow(_intervals(width), "doc_id long, th long, starts array<int>, stops array<int>")
     return found.dropDuplicates(["doc_id", "th"])
 
 
