@@ -38,8 +38,8 @@ from lumenvec.llm.common import written
 CAPACITY, END_ID = 1024, 2
 #: Sizes are packed class by class, from the largest: classes end at these fractions of the capacity.
 CLASSES = (2, 3, 4, 8, 32)
-#: Documents and slots of one range of a sweep.
-TASK_ROWS = 1 << 19
+#: Documents and slots of one range of a sweep: at most, and where more ranges would only cost tasks, about.
+TASK_ROWS, FEW_ROWS = 1 << 19, 1 << 14
 #: Characters that all regex engines class alike; texts with others go to the tokenizer itself.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
 
@@ -207,7 +207,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 gaps = gaps.unionByName(spark.range(opened, opened + usable).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("room")))
                 opened += usable
             slots = gaps.filter(F.col("room") >= least).select(F.col("room").alias("size"), "seq", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.floor(each)).cast("long"))).alias("slot"))
-            n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n + 2 * usable) // TASK_ROWS))
+            rows = n + 2 * usable
+            n_parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // FEW_ROWS)), -(-rows // TASK_ROWS))
             now, waiting, got = _round(waiting, slots, n_parts)
             taken.append(now.withColumn("round", F.lit(len(taken))))
             n -= got
