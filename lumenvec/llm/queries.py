@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenvec.llm.bag_minhash import near_duplicates
 from lumenvec.llm.common import read
+from lumenvec.llm.fill_in_middle import FIM_SQL, fim_table
 from lumenvec.llm.mixing import replicate, replicate_sql
 from lumenvec.llm.nn_descent import nearest
 from lumenvec.llm.packing import pack_documents
@@ -69,6 +70,10 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_table(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op8_quality_rules": op8_quality_rules,
@@ -80,10 +85,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_nn_descent": op2_nn_descent,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op8_quality_rules": QUALITY_SQL,
     "op7_source_mixing": replicate_sql(MIX_WEIGHTS, "doc_id, text, lang, source, n_chars, copy::INT AS copy_no, md5('mix-1:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS order_key"),
     "op1_arc_to_warc": PAGES_SQL,
+    "op12_fill_in_middle": FIM_SQL,
 }
