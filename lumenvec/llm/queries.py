@@ -13,6 +13,7 @@ from lumenvec.llm.fill_in_middle import FIM_SQL, fim_table
 from lumenvec.llm.mixing import replicate, replicate_sql
 from lumenvec.llm.nn_descent import nearest
 from lumenvec.llm.packing import pack_documents
+from lumenvec.llm.periodic_runs import runs_table
 from lumenvec.llm.quality_rules import QUALITY_SQL, quality_table
 from lumenvec.llm.secret_scans import scan
 from lumenvec.llm.substring_dedup import remove_repeats
@@ -74,6 +75,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_table(read(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_table(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op8_quality_rules": op8_quality_rules,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_nn_descent": op2_nn_descent,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {

@@ -64,8 +64,8 @@ class Words:
                 out[i : i + 1] += (part * power[: len(part)]).sum(dtype=np.uint64, keepdims=True) * np.uint64(pow(base, lo, 1 << 64))
         short = np.flatnonzero(~long)
         total = np.cumsum(length[short])  # of the words that are left
-        cuts = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]) if len(total) else 0, SLICE), side="right"))
-        for s, e in zip(cuts, np.append(cuts[1:], len(short)), strict=True):
+        cuts = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]), SLICE), side="right")) if len(total) else total
+        for s, e in zip(cuts, np.append(cuts[1:], len(short))[: len(cuts)], strict=True):
             at = short[s:e]
             n = length[at]
             inside = np.concatenate([[0], np.cumsum(n)])
