@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenvec.llm.bag_minhash import near_duplicates
 from lumenvec.llm.common import read
 from lumenvec.llm.fill_in_middle import FIM_SQL, fim_table
+from lumenvec.llm.html_extraction import extract
 from lumenvec.llm.mixing import replicate, replicate_sql
 from lumenvec.llm.nn_descent import nearest
 from lumenvec.llm.packing import pack_documents
@@ -71,6 +72,10 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_table(read(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_nn_descent": op2_nn_descent,
+    "op11_tree_extraction": op11_tree_extraction,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_periodic_runs": op13_periodic_runs,
 }
