@@ -8,8 +8,10 @@ the declared type of the HTTP message. Of records with equal payloads of at leas
 largest key is the response; the others become revisits that name its id, URI, date and key and keep their HTTP header,
 whose Content-Length still tells the payload's size.
 
-All files are gzip-compressed and written by Spark's text writer with record ends as line separators, so they go to any
-file system that Spark knows. Files are parsed one a task; a writer's file is what one task holds. Which record of a
+Files go through Spark's text writer, so they go to any file system that Spark knows; every record is a gzip member of its own,
+as in archives of crawlers, so a reader can begin at any record's offset. Archives are read whatever they are called, plain
+or compressed, in one member or many: they are inflated piece by piece, and at most one record is held besides the file's own
+bytes (2 GB at most, Spark's bound for a binary value; a larger file is an error). Which record of a
 group is the response is found by a partial aggregate and joined back from a written table, so a payload that a third
 of all pages share is split over many tasks.
 
@@ -37,7 +39,8 @@ from lumenvec.llm.common import drop_path, fresh_path, written
 REVISIT_BYTES = 1000
 FIELDS = {1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"), 2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length")}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-KEY = "X-Source-Key"
+#: Fields of our own: the key of a record, and the size of the payload that a revisit leaves out.
+KEY, SIZE = "X-Source-Key", "X-Payload-Bytes"
 CRLF = b"\r\n"
 
 
@@ -54,7 +57,7 @@ def _http(payload: bytes, key: int | None) -> bytes:
 
 
 def _arc_blocks(version: int, date: str):
-    """Rows of a task as the records of one ARC file; the text writer adds the line feed after each."""
+    """Rows of a task as the records of one ARC file; offsets are those of the inflated file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offset, name = 0, ""
@@ -64,14 +67,16 @@ def _arc_blocks(version: int, date: str):
                 name = f"legacy-{uuid.uuid4().hex}.arc"
                 body = f"{version} 0 lumenvec\n{' '.join(FIELDS[version])}\n".encode()
                 rest = f"{len(body)}" if version == 1 else f"200 - - 0 {name} {len(body)}"
-                out.append(f"filedesc://{name} 0.0.0.0 {date} text/plain {rest}\n".encode() + body)
-                offset += len(out[-1]) + 1
+                out.append(f"filedesc://{name} 0.0.0.0 {date} text/plain {rest}\n".encode() + body + b"\n")
+                offset += len(out[-1])
+            out = [member(x) for x in out]
             for key, url, html in zip(b.column("key").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
                 payload = (html or "").encode()
                 block = _http(payload, key) + payload
                 rest = f"{len(block)}" if version == 1 else f"200 {hashlib.md5(block).hexdigest()} - {offset} {name} {len(block)}"
-                out.append(f"{_arc_url(url)} 0.0.0.0 {date} text/html {rest}\n".encode() + block)
-                offset += len(out[-1]) + 1
+                record = f"{_arc_url(url)} 0.0.0.0 {date} text/html {rest}\n".encode() + block + b"\n"
+                out.append(member(record))
+                offset += len(record)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     return run
@@ -80,37 +85,108 @@ def _arc_blocks(version: int, date: str):
 def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20240101000000") -> None:
     """(key, url, html) as ARC files in ``path``, one for each partition that has rows."""
     records = pages.select(F.col("key").cast("long").alias("key"), "url", "html").mapInArrow(_arc_blocks(version, date), "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    _write(records, path)
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
+#: A gzip member without content, the line separator of files that are members throughout.
+EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
+
+
+def member(record: bytes) -> bytes:
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(record) + pack.flush()
+
+
+def _write(records: DataFrame, path: str) -> None:
+    """(record binary) as files of gzip members. The text writer puts bytes as they are, and the encoding is for its separator."""
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
+
+class Inflated:
+    """An archive's bytes as a stream: plain, or gzip in any number of members. ``at`` is the place in the inflated file."""
+
+    def __init__(self, content: bytes | pa.Buffer, piece: int = 1 << 18):
+        self.source, self.piece, self.next, self.at = memoryview(content), piece, 0, 0
+        self.packed, self.unpack = bytes(self.source[:2]) == b"\x1f\x8b", None
+        self.held, self.spare = bytearray(), b""
+
+    def _more(self) -> bool:
+        """Takes in some more bytes, if there are any."""
+        while True:
+            raw = self.spare or bytes(self.source[self.next : self.next + self.piece])
+            if not raw:
+                if self.unpack is not None and not self.unpack.eof:
+                    raise ValueError("the archive ends inside a gzip member")
+                return False
+            if not self.spare:
+                self.next += len(raw)
+            self.spare = b""
+            if not self.packed:
+                self.held += raw
+                return True
+            if self.unpack is None or self.unpack.eof:
+                raw = raw.lstrip(b"\0") if self.unpack is not None else raw  # padding between members
+                if not raw:
+                    continue
+                self.unpack = zlib.decompressobj(47)
+            out = self.unpack.decompress(raw, self.piece * 4)
+            self.spare = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if out:
+                self.held += out
+                return True
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and self._more():
+            pass
+        return bytes(self.held[:n])
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, or what is left of them."""
+        while len(self.held) < n and self._more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.at += len(out)
+        return out
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Bytes up to and with ``mark``; nothing if it doesn't come."""
+        seen = 0
+        while (end := self.held.find(mark, seen)) < 0:
+            seen = max(len(self.held) - len(mark) + 1, 0)
+            if not self._more():
+                return None
+        return self.take(end + len(mark))
+
+
+def parse_arc(data: bytes | pa.Buffer) -> Iterator[dict]:
     """The records of an ARC file's bytes, with header fields by name, offset and block; the version block is left out."""
-    names, at = None, 0
-    while at < len(data):
-        if data[at : at + 1] == b"\n":
-            at += 1
+    stream, names = Inflated(data), None
+    while stream.peek(1):
+        if stream.peek(1) == b"\n":
+            stream.take(1)
             continue
-        end = data.find(b"\n", at)
-        if end < 0:
+        at = stream.at
+        head = stream.until(b"\n")
+        if head is None:
             raise ValueError(f"an ARC header line at byte {at} doesn't end")
-        line = data[at:end].decode("utf-8", "surrogateescape").rstrip("\r").split(" ")
+        line = head[:-1].decode("utf-8", "surrogateescape").rstrip("\r").split(" ")
         try:
             length = int(line[-1])
         except ValueError:
             raise ValueError(f"no length in the ARC header line at byte {at}") from None
-        if length < 0 or end + 1 + length > len(data):
+        block = stream.take(max(length, 0))
+        if length < 0 or len(block) < length:
             raise ValueError(f"the ARC record at byte {at} declares {length} bytes, beyond the file's end")
-        block = data[end + 1 : end + 1 + length]
         if names is None:
             version, _, rest = block.partition(b"\n")
-            names = rest.split(b"\n")[0].decode().split(" ") if line[0].startswith("filedesc:") else None
+            names = rest.split(b"\n")[0].decode().strip().split(" ") if line[0].startswith("filedesc:") else None
             if names is None or version[:1] not in b"12" or len(names) != len(line):
                 raise ValueError("not an ARC version block")
         else:
             if len(line) > len(names):  # blanks inside a URL or type: the fixed fields are counted from the end
                 line = [" ".join(line[: len(line) - len(names) + 1]), *line[len(line) - len(names) + 1 :]]
             yield dict(zip(names, line, strict=True)) | {"offset": at, "block": block}
-        at = end + 1 + length
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -134,8 +210,10 @@ def _number(text: str | None) -> int | None:
 
 
 def warc_date(digits: str) -> str:
-    """ISO 8601 from an ARC date of 14 or 12 digits."""
-    d = digits.ljust(14, "0")
+    """ISO 8601 from an ARC date of 14 digits, or fewer: then the first month, day, hour, minute or second."""
+    if not 4 <= len(digits) <= 14 or not digits.isdecimal():
+        raise ValueError(f"not an ARC date: {digits!r}")
+    d = digits + "00000101000000"[len(digits) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -146,11 +224,10 @@ def _arc_rows(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                data = zlib.decompress(content.as_py(), 47)
                 rows, size = [], 0
-                for r in parse_arc(data):
+                for r in parse_arc(content.as_buffer()):
                     head, payload = split_http(r["block"])
-                    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{path.rsplit('/', 1)[-1]}:{r['offset']}:{r['URL']}").urn
+                    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{path}:{r['offset']}:{r['URL']}").urn
                     rows.append((rid, _number(_field(head, KEY)), hashlib.sha1(payload).hexdigest(), len(payload), _plain_url(r["URL"]), warc_date(r["Archive-date"]), *((r["IP-address"], r["Content-type"], r["block"]) if whole else ())))
                     size += len(r["block"]) if whole else 100
                     if size > 4 << 20:
@@ -162,18 +239,20 @@ def _arc_rows(whole: bool):
     return run
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """The archives of a folder (or of folders by a pattern); an error where there is no such folder, no rows where it has no archive."""
+def _files(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """All files of a folder (or of folders by a pattern), or those of a pattern of names; an error where there is no such
+    folder, no rows where it has no file. Files whose names begin with a dot or an underscore are none, as for all of Spark's readers."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p):
         raise FileNotFoundError(path)
-    return spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    reader = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile")
+    return (reader.option("pathGlobFilter", names) if names else reader).load(path).select("path", "content")
 
 
 def _warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     head = ["WARC/1.1", f"WARC-Type: {kind}", *[f"{k}: {v}" for k, v in fields], f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
+    return "\r\n".join(head).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def _uri(url: str) -> str:
@@ -190,7 +269,7 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         if info is None and b.num_rows:
             info = f"<{uuid.uuid4().urn}>"
-            out.append(_warc_record("warcinfo", [("WARC-Record-ID", info), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"software: lumenvec\r\nformat: WARC File Format 1.1\r\n"))
+            out.append(member(_warc_record("warcinfo", [("WARC-Record-ID", info), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"software: lumenvec\r\nformat: WARC File Format 1.1\r\n")))
         for r in b.to_pylist():
             head, payload = split_http(r["block"])
             http = bool(head)
@@ -202,44 +281,45 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, block = ("response" if http else "resource"), r["block"]
             if r["first_id"] is not None and r["first_id"] != r["record_id"]:
                 kind, block = "revisit", head
-                fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{r['first_id']}>"), ("WARC-Refers-To-Date", r["first_date"])]
+                fields += [(SIZE, str(len(payload))), ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{r['first_id']}>"), ("WARC-Refers-To-Date", r["first_date"])]
                 if r["first_url"] is not None:
                     fields.append(("WARC-Refers-To-Target-URI", _uri(r["first_url"])))
                 if r["first_key"] is not None:
                     fields.append((f"{KEY}-Referred", str(r["first_key"])))
             fields += [("WARC-Payload-Digest", _digest(payload)), ("WARC-Block-Digest", _digest(block)), ("Content-Type", "application/http; msgtype=response" if http else r["mime"])]
-            out.append(_warc_record(kind, fields, block))
+            out.append(member(_warc_record(kind, fields, block)))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """All ARC files of a folder as WARC files in another."""
-    brief = _files(spark, arc_path).mapInArrow(_arc_rows(False), "record_id string, key long, digest string, size long, url string, date string")
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, names: str | None = None) -> None:
+    """All ARC files of a folder (or those whose names match a pattern) as WARC files in another."""
+    brief = _files(spark, arc_path, names).mapInArrow(_arc_rows(False), "record_id string, key long, digest string, size long, url string, date string")
     first = brief.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("key", "record_id", "url", "date")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = written(first.select(F.col("digest").alias("same"), *[F.col(f"first.{c}").alias(f"first_{n}") for c, n in (("key", "key"), ("record_id", "id"), ("url", "url"), ("date", "date"))]), "first_records")
-    rows = _files(spark, arc_path).mapInArrow(_arc_rows(True), "record_id string, key long, digest string, size long, url string, date string, ip string, mime string, block binary")
+    rows = _files(spark, arc_path, names).mapInArrow(_arc_rows(True), "record_id string, key long, digest string, size long, url string, date string, ip string, mime string, block binary")
     matched = rows.join(first, (rows["digest"] == first["same"]) & (rows["size"] >= REVISIT_BYTES), "left")
     records = matched.select("record_id", "key", "url", "date", "ip", "mime", "block", "first_id", "first_key", "first_url", "first_date").mapInArrow(_to_warc, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    _write(records, warc_path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(data: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields (names in lower case, and ``type``) and block of the records of a WARC file's bytes, by declared lengths."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == CRLF:
-            at += 2
+    stream = Inflated(data)
+    while stream.peek(1):
+        if stream.peek(2) == CRLF:
+            stream.take(2)
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+        at = stream.at
+        head = stream.until(b"\r\n\r\n") if stream.peek(5) == b"WARC/" else None
+        if head is None:
             raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
+        lines = head[:-4].decode("utf-8", "surrogateescape").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(fields["content-length"])
-        if end + 4 + size > len(data):
+        block = stream.take(size)
+        if len(block) < size:
             raise ValueError(f"the WARC record at byte {at} declares {size} bytes, beyond the file's end")
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        yield fields, block
 
 
 _READ = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("key", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to_id", pa.string()), ("refers_to", pa.int64()), ("refers_to_url", pa.string()), ("refers_to_date", pa.string())])
@@ -249,22 +329,23 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for content in b.column("content"):
             out = []
-            for f, block in parse_warc(zlib.decompress(content.as_py(), 47)):
+            for f, block in parse_warc(content.as_buffer()):
                 if f["warc-type"] == "warcinfo":
                     continue
                 head, payload = split_http(block)
                 revisit = f["warc-type"] == "revisit"
-                digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-                if not revisit and hashlib.sha1(payload).hexdigest() != digest:
+                told, own = f.get("warc-payload-digest", ""), hashlib.sha1(payload).hexdigest()
+                digest = base64.b32decode(told.removeprefix("sha1:").upper()).hex() if told.startswith("sha1:") else None if revisit else own
+                if not revisit and own != digest:
                     raise ValueError(f"{f['warc-record-id']}: the payload doesn't have its digest")
                 url = f.get("warc-target-uri")
-                out.append({"record_type": f["warc-type"], "record_id": f["warc-record-id"].strip("<>"), "key": _number(f.get(KEY.lower())), "url": url, "date": f["warc-date"], "payload_digest": digest, "payload_bytes": int(_field(head, "Content-Length")) if revisit else len(payload), "refers_to_id": f.get("warc-refers-to", "").strip("<>") or None, "refers_to": _number(f.get(f"{KEY}-Referred".lower())), "refers_to_url": f.get("warc-refers-to-target-uri"), "refers_to_date": f.get("warc-refers-to-date")})
+                out.append({"record_type": f["warc-type"], "record_id": f["warc-record-id"].strip("<>"), "key": _number(f.get(KEY.lower())), "url": url, "date": f["warc-date"], "payload_digest": digest, "payload_bytes": _number(f.get(SIZE.lower()) or _field(head, "Content-Length")) if revisit else len(payload), "refers_to_id": f.get("warc-refers-to", "").strip("<>") or None, "refers_to": _number(f.get(f"{KEY}-Referred".lower())), "refers_to_url": f.get("warc-refers-to-target-uri"), "refers_to_date": f.get("warc-refers-to-date")})
             yield pa.RecordBatch.from_pylist(out, _READ)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
     """The records of a folder's WARC files but the warcinfo ones; digests are bare hexadecimal, checked against the payload."""
-    return _files(spark, path).mapInArrow(_read_rows, "record_type string, record_id string, key long, url string, date string, payload_digest string, payload_bytes long, refers_to_id string, refers_to long, refers_to_url string, refers_to_date string")
+    return _files(spark, path, names).mapInArrow(_read_rows, "record_type string, record_id string, key long, url string, date string, payload_digest string, payload_bytes long, refers_to_id string, refers_to long, refers_to_url string, refers_to_date string")
 
 
 def pages_round_trip(pages: DataFrame) -> DataFrame:
