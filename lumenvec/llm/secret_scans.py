@@ -97,9 +97,12 @@ def _random_spans(text: str, start: int, end: int, encoding) -> list[tuple[int,
 
 def spans_of(text: str, encoding) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and spans of random runs that no base span touches."""
-    base, more = _base(text), []
-    for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
+    base, more, k, reach = _base(text), [], 0, 0
+    for m in RUN.finditer(text):  # runs and base spans in order of their starts, walked together
+        while k < len(base) and base[k][0] < m.end():
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= m.start():
             more += _random_spans(text, m.start(), m.end(), encoding)
     return base, more
 
