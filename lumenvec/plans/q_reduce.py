@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +10,14 @@ from pyspark.sql import functions as F
 from lumenvec.operators import knn, reduce
 from lumenvec.plans.registry import query
 from lumenvec.sources import bundle, entries, fasta
+from lumenvec.sources.shared import file_system, fresh_path
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder among those that driver and executors share; a session on one machine without such a setting gets a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    if not shared:
-        return tempfile.mkdtemp()
-    path = f"{shared.removeprefix('file:').rstrip('/')}/q-{uuid.uuid4().hex}"
-    os.makedirs(path, exist_ok=True)
+    """A new folder among those that driver and executors share, on whichever file system they are."""
+    path = fresh_path(spark, "q")
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
     return path
 
 
@@ -54,8 +49,23 @@ def dr6_mds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dr8")
 def dr8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sets by two methods, and a precomputed similarity, which gets MDS alone; a second call over the store fits nothing."""
     v = vectors(spark, sf_dir).select("id", "embedding")
-    return reduce.reductions({"A": v, "B": v.withColumn("embedding", F.slice("embedding", 1, 8))}, reduce.parse_methods("pca2,pca3"))
+    sets = {"A": v, "B": v.withColumn("embedding", F.transform("embedding", lambda x: -x))}
+    edges = knn.nearest(v, v, 10).select(F.col("query_id").alias("i"), F.col("ref_id").alias("j"), F.round(1 - F.col("distance"), 6).alias("sim"))
+    store = reduce.ProjectionStore(spark, f"{folder(spark)}/projections")
+    reduce.reductions(sets, reduce.parse_methods("pca2,pca3"), {"C": edges}, store)
+    return reduce.reductions(sets, reduce.parse_methods("pca2,pca3"), {"C": edges}, store)
+
+
+@query("snk8", "SELECT vec_id AS id, true AS reused FROM embeddings")
+def snk8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projection read back from the store, beside the one it was made from: equal on every row."""
+    v = vectors(spark, sf_dir).select("id", "embedding")
+    store, spec = reduce.ProjectionStore(spark, f"{folder(spark)}/projections"), reduce.parse_method("pca2")
+    first = store.made(v, "A", spec, {}, lambda: reduce.project(v, spec))
+    again = store.made(v.repartition(3), "A", spec, {}, lambda: v.limit(0).select("id", F.array(F.lit(0.0)).alias("coords")))
+    return first.join(again.withColumnRenamed("coords", "c"), "id").select("id", (F.col("coords") == F.col("c")).alias("reused"))
 
 
 @query("sta1")
