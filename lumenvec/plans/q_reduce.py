@@ -99,16 +99,44 @@ def _bundle(spark: SparkSession, sf_dir: str) -> str:
 
 @query("src1", "SELECT vec_id::VARCHAR AS identifier, 'L' || label AS family FROM embeddings")
 def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as a bundle and read back through the data source."""
-    spark.dataSource.register(bundle.BundleSource)
-    return spark.read.format("bundle").option("part", "annotations").load(_bundle(spark, sf_dir))
+    """Written as a bundle and read back by ranges, a partition a row group."""
+    return bundle.read_part(spark, _bundle(spark, sf_dir))
+
+
+@query("src2", """SELECT 'annotations' AS part, count(*) AS rows, 2 AS columns, 2 AS version FROM embeddings UNION ALL SELECT 'metadata', 1, 4, 1
+UNION ALL SELECT 'projections', count(*), 5, 1 FROM embeddings UNION ALL SELECT 'settings', 1, 1, 1""")
+def src2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of all parts are read, and each part's format version from its footer."""
+    path = _bundle(spark, sf_dir)
+    stream = bundle.Stream(spark, path)
+    out = None
+    for name, (_, end) in bundle.locate(stream.read, stream.size).items():
+        version = bundle.format_version(bundle.footer(stream.read, end)[0].schema.to_arrow_schema())
+        part = bundle.read_part(spark, path, name)
+        one = part.agg(F.lit(name).alias("part"), F.count(F.struct("*")).alias("rows"), F.lit(len(part.columns)).alias("columns"), F.lit(version).alias("version"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("src2_columns", "SELECT vec_id::VARCHAR AS identifier, embedding[1]::DOUBLE AS x FROM embeddings WHERE embedding[1] > 0")
+def src2_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of five, filtered: row groups without such rows make no partition."""
+    return bundle.read_part(spark, _bundle(spark, sf_dir), "projections", ["identifier", "x"]).filter("x > 0").select("identifier", F.col("x").cast("double").alias("x"))
+
+
+@query("snk2", "SELECT vec_id::VARCHAR AS identifier, 'L' || label AS family, 25::BIGINT AS visible FROM embeddings")
+def snk2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings replaced in place, and every annotation still there, byte for byte."""
+    path = _bundle(spark, sf_dir)
+    bundle.replace_in(spark, path, f"{path}.new", "settings", bundle.settings_table({"family": {"maxVisibleValues": 25}}))
+    settings = bundle.read_part(spark, f"{path}.new", "settings").select(F.get_json_object("settings_json", "$.family.maxVisibleValues").cast("long").alias("visible"))
+    return bundle.read_part(spark, f"{path}.new").crossJoin(F.broadcast(settings))  # one row
 
 
 @query("src3", "SELECT 'annotations' AS part, count(*) AS n FROM embeddings UNION ALL SELECT 'metadata', 1 UNION ALL SELECT 'projections', count(*) FROM embeddings UNION ALL SELECT 'settings', 1")
 def src3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _bundle(spark, sf_dir)
-    with open(path, "rb") as f:
-        files = bundle.extract(f.read(), os.path.join(os.path.dirname(path), "parts"))
+    files = bundle.extract(spark, path, f"{os.path.dirname(path)}/parts")
     rows = [(os.path.basename(p).removesuffix(".parquet"), spark.read.parquet(p).count()) for p in files]
     return spark.createDataFrame(rows, "part string, n long")
 

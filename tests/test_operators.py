@@ -189,7 +189,7 @@ def test_bundle(spark, tmp_path):
     bundle.write_bundle(path, notes, meta, at, None, meta)
     data = open(path, "rb").read()
     assert list(bundle.split_bundle(data)) == ["annotations", "metadata", "projections", "statistics"] and bundle.is_bundle(data)
-    spark.dataSource.register(bundle.BundleSource)
+    bundle.register(spark)
     assert {tuple(r) for r in spark.read.format("bundle").load(path).collect()} == {("1", "a"), ("2", "")}
     changed = bundle.replace_part(data, "settings", bundle.settings_table({"a": 1}))
     assert bundle.split_bundle(changed)["annotations"] == bundle.split_bundle(data)["annotations"]
