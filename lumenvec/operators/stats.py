@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenvec.functions.missing import stats_missing
-from lumenvec.operators import ranks
 from lumenvec.operators.knn import distance, distances, held, matrix, nearest
 
 BLOCK = 1024
@@ -123,27 +122,6 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(ari.alias("ari"), nmi.alias("nmi"))
 
 
-def _pair_rows(v: str, metric: str, digits: int):
-    """For each pair of blocks: distances of all pairs of different points, the smaller id first."""
-    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                ai, bi = np.asarray(held(b, row, "a_id")), np.asarray(held(b, row, "b_id"))
-                d = distances(matrix(b, row, f"a_{v}"), matrix(b, row, f"b_{v}"), metric).round(digits)
-                i, j = np.nonzero(ai[:, None] < bi[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(ai[i]), pa.array(bi[j]), pa.array(d[i, j])], schema=schema)
-
-    return run
-
-
-def pair_distances(df: DataFrame, v: str, metric: str = "euclidean", digits: int = 9) -> DataFrame:
-    """(i, j, d) for all pairs of points, i < j, rounded so that ties are ties: the statistic itself is over all pairs."""
-    a, b = _blocks(df, ["id", v], "a"), _blocks(df, ["id", v], "b")
-    return a.crossJoin(b).mapInArrow(_pair_rows(v, metric, digits), "i long, j long, d double")
-
-
 def other_neighbours(df: DataFrame, v: str, k: int, metric: str) -> DataFrame:
     """(i, j): the ``k`` nearest other points of each point, the smaller id on ties."""
     found = nearest(df, df, k + 1, metric, "id", v).filter("query_id <> ref_id")
@@ -223,17 +201,6 @@ def triplet_accuracy(df: DataFrame, per_point: int = 5, metric: str = "cosine",
     return t.agg(F.avg((closer("h", "hj", "hm", metric) == closer("l", "lj", "lm", "euclidean")).cast("double")).alias("value"))
 
 
-def spearman_distances(df: DataFrame, metric: str = "cosine", high: str = "v", low: str = "xy") -> DataFrame:
-    """(value): rank correlation of all distances in both spaces, ties by mean rank; null where one of them is constant."""
-    h = pair_distances(df, high, metric).withColumnRenamed("d", "dh")
-    # The pairs are kept for the passes that rank them, on either side; the result is one row.
-    both = h.join(pair_distances(df, low).withColumnRenamed("d", "dl"), ["i", "j"]).select("dh", "dl").persist()
-    ranked = both.join(ranks.midrank_table(both, "dh", "rh"), "dh").join(ranks.midrank_table(both, "dl", "rl"), "dl")
-    value = ranked.agg(F.when((F.stddev_pop("rh") > 0) & (F.stddev_pop("rl") > 0), F.corr("rh", "rl"))).first()[0]
-    both.unpersist()
-    return df.sparkSession.createDataFrame([(value,)], "value double")
-
-
 def suitable_columns(df: DataFrame, id_col: str, max_card: int = 50) -> list[str]:
     """Columns to score: 2 to min(max_card, n / 2) categories, not one for each row, not numbers, no cluster columns."""
     from lumenvec.functions.cells import strip_scores

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.operators import ranks, stats
+from lumenvec.operators import distance_ranks, ranks, stats
 from lumenvec.plans.registry import query
 
 P = "p AS (SELECT vec_id AS id, CASE WHEN vec_id = 3 THEN 'alone' ELSE label::VARCHAR END AS c, embedding::DOUBLE[] AS v, embedding[1:2]::DOUBLE[] AS xy FROM embeddings)"
@@ -91,7 +91,7 @@ def sta10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sta11", f"WITH {P}, d AS (SELECT round(list_distance(a.v, b.v), 9) AS h, round(list_distance(a.xy, b.xy), 9) AS l FROM p a JOIN p b ON a.id < b.id), r AS (SELECT rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2 AS rh, rank() OVER (ORDER BY l) + (count(*) OVER (PARTITION BY l) - 1) / 2 AS rl FROM d) SELECT round(corr(rh, rl), 6) AS value FROM r")
 def sta11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.spearman_distances(points(spark, sf_dir), "euclidean").select(F.round("value", 6).alias("value"))
+    return distance_ranks.spearman(points(spark, sf_dir), "euclidean").select(F.round("value", 6).alias("value"))
 
 
 @query("sta12", "SELECT 0::BIGINT AS rows, 1::INT AS k_small, 10::INT AS k_large")
