@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,6 +119,24 @@ def hex_to_rgba(c: Column, alpha: float = 0.8) -> Column:
     return F.concat(F.lit("rgba("), F.concat_ws(", ", part(1), part(3), part(5), F.lit(str(alpha))), F.lit(")"))
 
 
+def sample_palette(t: Column, stops: Sequence[str]) -> Column:
+    """The colour at ``t`` (0 to 1, else cut to that) of evenly spaced stops (#RGB or #RRGGBB), channel by channel in sRGB.
+
+    A stop that is met exactly comes back as it is written, and #000000 without stops; null and NaN have no colour.
+    """
+    if len(stops) < 2:
+        return F.when(t.isNotNull() & ~F.isnan(t), F.lit(stops[0] if stops else "#000000"))
+    wide = ["".join(2 * c for c in s[1:]) if len(s) == 4 else s[1:] for s in stops]
+    table = F.array(*[F.array(*[F.lit(int(s[k : k + 2], 16)) for k in (0, 2, 4)]) for s in wide])
+    at = F.least(F.greatest(t.cast("double"), F.lit(0.0)), F.lit(1.0)) * (len(stops) - 1)
+    low = F.least(F.floor(at), F.lit(len(stops) - 2)).cast("int")
+    share = at - low
+    mixed = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.floor(F.get(F.get(table, low), k) * (1 - share) + F.get(F.get(table, low + 1), k) * share + 0.5 + 1e-9).cast("int"))
+    text = F.concat(F.lit("#"), F.array_join(F.transform(mixed, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    exact = F.get(F.array(*[F.lit(s) for s in stops]), at.cast("int"))
+    return F.when(t.isNull() | F.isnan(t.cast("double")), F.lit(None)).when(at == F.floor(at), exact).otherwise(text)
+
+
 def best_evidence(codes: Column) -> Column:
     """The most trusted of an array of codes, after shortening; the first where none is known, null for none."""
     short = F.transform(codes, lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ECO_SHORT.items() for x in kv]), c), c))

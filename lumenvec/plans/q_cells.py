@@ -154,3 +154,18 @@ _fn("agg16", "CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'ECO:0000256,ECO:00002
 def fn12(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey") % 3
     return c.select(F.col("c_custkey").alias("id"), bio.ted_domain(F.when(k > 0, F.col("c_mktsegment")), F.when(k == 2, F.col("c_name")), F.col("c_nationkey") + F.lit(0.25)).alias("out"))
+
+
+PALETTE = ("#0D0887", "#7E03A8", "#CC4778", "#F89540", "#fd0")
+
+
+@query("fn17_palette", """WITH e AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 50 = 1 THEN 0.25 ELSE (value - 20) / 100 END AS t FROM events),
+p AS (SELECT event_id, CASE WHEN t IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, t)) * 4 END AS u FROM e),
+r AS (SELECT [[13, 8, 135], [126, 3, 168], [204, 71, 120], [248, 149, 64], [255, 221, 0]] AS rgb, ['#0D0887', '#7E03A8', '#CC4778', '#F89540', '#fd0'] AS stops),
+m AS (SELECT event_id, u, stops, least(floor(u), 3)::INT AS low, rgb FROM p, r)
+SELECT event_id, CASE WHEN u = floor(u) THEN stops[u::INT + 1] WHEN u IS NOT NULL THEN '#' || list_aggregate(list_transform([1, 2, 3], lambda k: printf('%02X', floor(rgb[low + 1][k] * (1 - (u - low)) + rgb[low + 2][k] * (u - low) + 0.5 + 1e-9)::INT)), 'string_agg', '') END AS color FROM m""")
+def fn17_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of a numeric column; no value and NaN have none, and values beyond the ends take the ends'."""
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 50
+    t = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(0.25)).otherwise((F.col("value") - 20) / 100)
+    return e.select("event_id", bio.sample_palette(t, PALETTE).alias("color"))

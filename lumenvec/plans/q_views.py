@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.operators import legend, views
+from lumenvec.operators import legend, spatial, views
 from lumenvec.plans.registry import query
+from lumenvec.sources.shared import fresh_path
 
 PARTS = """p AS (SELECT p_partkey AS id, p_partkey % 9 = 0 AS m, string_split(p_name, ' ') AS w, p_type, p_brand, p_size FROM part),
 l AS (SELECT id, unnest(CASE WHEN m THEN ['__NA__'] ELSE w END) AS value, unnest(range(CASE WHEN m THEN 1 ELSE len(w) END)) AS j FROM p),
@@ -269,3 +270,33 @@ def snk6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).filter(~views.hidden(F.col("labels"), ("small", "ring"))).select("id")
 
 
+
+
+# The same windows by the spatial index: each query writes the table clustered by place, and reads the files and stretches it needs.
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> spatial.SpatialTable:
+    return spatial.write_index(points(spark, sf_dir), fresh_path(spark, "plane"), files=8)
+
+
+@query("geo1_index", f"WITH {PLANE} SELECT id FROM e WHERE x BETWEEN -0.1 AND 0.05 AND y BETWEEN 0 AND 0.2")
+def geo1_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(spark, sf_dir).box(0.05, 0.2, -0.1, 0).select("id")
+
+
+@query("geo2_index", f"WITH {PLANE} SELECT id FROM e WHERE x BETWEEN -0.2 AND 0.2 AND y BETWEEN -0.15 AND 0.2 AND ({_EDGES}) % 2 = 1")
+def geo2_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(spark, sf_dir).polygon(LASSO).select("id")
+
+
+@query("geo3_index", f"WITH {PLANE} SELECT id, round((x - 0.01) * (x - 0.01) + (y - 0.02) * (y - 0.02), 9) AS d2 FROM e WHERE (x - 0.01) * (x - 0.01) + (y - 0.02) * (y - 0.02) <= 0.04 ORDER BY d2, id LIMIT 1")
+def geo3_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(spark, sf_dir).nearest(0.01, 0.02, 0.2).select("id", F.round("d2", 9).alias("d2"))
+
+
+@query("geo6_index", f"WITH {PLANE} SELECT id FROM e WHERE 10 + (x + 1) / 2 * 780 BETWEEN 150 AND 450 AND 10 + (y + 1) / 2 * 580 BETWEEN 100 AND 350")
+def geo6_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible part, from pixels back to the plane."""
+    x0, y0, x1, y1 = views.viewport(2.0, -300.0, -200.0, 600, 500, (10, 10, 10, 10), 10)
+    back = lambda v, size: (v - 10) / size * 2 - 1
+    return indexed(spark, sf_dir).box(back(x0, 780), back(y0, 580), back(x1, 780), back(y1, 580)).select("id")
