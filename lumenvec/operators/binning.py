@@ -13,7 +13,6 @@ from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenvec.functions.missing import NA, finite_or_null
 from lumenvec.operators import ranks
@@ -251,8 +250,8 @@ def ordered_ids(bins: Sequence[Bin], mode: str = "size-asc", manual: Sequence[st
 
 def cumulative_positions(counts: DataFrame, order: str = "lower", n: str = "n") -> DataFrame:
     """``counts`` with ``position``: middle of the cumulative share, for bins that are themselves a table."""
-    w, everything = Window.orderBy(order), Window.partitionBy()
-    total, before = F.sum(n).over(everything), F.sum(n).over(w) - F.col(n)
-    r, last = F.row_number().over(w), F.count(F.lit(1)).over(everything)
-    mid = (before + F.col(n) / 2) / total
-    return counts.withColumn("position", F.when(last == 1, 0.5).when(r == 1, 0.0).when(r == last, 1.0).otherwise(mid))
+    ends = counts.agg(F.sum(n).alias("_total"), F.count(F.lit(1)).alias("_bins"), F.min(order).alias("_first"), F.max(order).alias("_last"))  # one row
+    at = ranks.before(counts, [F.col(order)], F.col(n), "_before").crossJoin(F.broadcast(ends))
+    mid = (F.col("_before") + F.col(n) / 2) / F.col("_total")
+    position = F.when(F.col("_bins") == 1, 0.5).when(F.col(order) == F.col("_first"), 0.0).when(F.col(order) == F.col("_last"), 1.0).otherwise(mid)
+    return at.withColumn("position", position).drop("_before", "_total", "_bins", "_first", "_last")

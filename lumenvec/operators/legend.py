@@ -34,17 +34,18 @@ def frequencies(rows: DataFrame, labels: str, known: DataFrame | None = None) ->
 
 
 def order_of(mode: str, numeric_source: bool = False) -> list[Column]:
-    """Sort columns over (value, n, and for the manual modes z; for numeric labels also place); ends with the value, so that ties are settled."""
+    """Sort columns over (value, n, and for the manual modes z; for numeric labels also place); ends with the value, so that ties are
+    settled. All but those of alpha-desc are plain ascending keys, as ``ranks`` takes them."""
     if mode not in MODES:
         raise ValueError(mode)
     head = [(F.col("value") == NA).cast("int")] if numeric_source else []
     if mode.startswith("manual"):
         z = F.coalesce(F.col("z"), F.lit((1 << 53) - 1))
-        return [*head, z if mode == "manual" else z.desc(), F.col("value")]
+        return [*head, z if mode == "manual" else -z, F.col("value")]
     if mode.startswith("alpha"):
         key = natural_key(F.col("value"))
-        return [*head, key if mode == "alpha-asc" else key.desc(), F.col("n").desc(), F.col("value")]
-    return [*head, F.col("n") if mode == "size-asc" else F.col("n").desc(), F.col("value")]
+        return [*head, key if mode == "alpha-asc" else key.desc(), -F.col("n"), F.col("value")]
+    return [*head, F.col("n") if mode == "size-asc" else -F.col("n"), F.col("value")]
 
 
 def top_k(
@@ -73,9 +74,8 @@ def top_k(
 
 
 def silhouette_order(descending: bool = True) -> list[Column]:
-    """Over (value, is_other, score, z): Other last, then unscored ones, ties by z-order."""
-    score = F.col("score").desc_nulls_last() if descending else F.col("score").asc_nulls_last()
-    return [F.col("is_other").cast("int"), score, F.col("z")]
+    """Over (value, is_other, score, z), as ascending keys: Other last, then unscored ones, ties by z-order."""
+    return [F.col("is_other").cast("int"), F.col("score").isNull().cast("int"), -F.col("score") if descending else F.col("score"), F.col("z")]
 
 
 def dictionary(rows: DataFrame, labels: str, position: str, by_frequency: bool = True) -> DataFrame:

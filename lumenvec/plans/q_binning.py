@@ -122,8 +122,14 @@ def bin11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("c_custkey").alias("id"), *[x for x in out.columns if x.endswith("__bin")])
 
 
-@query("top5", "SELECT i::INT AS place, id FROM (VALUES (0, 'num:linear:2:4'), (1, 'num:linear:0:2'), (2, 'num:linear:4:6'), (3, '__NA__')) t(i, id)")
+@query(
+    "top5",
+    f"""WITH m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+b AS (SELECT i, lo + (hi - lo) / 4 * i AS a, CASE WHEN i = 3 THEN hi ELSE lo + (hi - lo) / 4 * (i + 1) END AS z FROM range(4) t(i), m)
+SELECT CASE i WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END::INT AS place, 'num:linear:' || {_TEXT.format("a")} || ':' || {_TEXT.format("z")} AS id FROM b UNION ALL SELECT 4, '__NA__'""",
+)
 def top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = [b.Bin(b.bin_id("linear", lo, lo + 2), "", lo, lo + 2, 1, 0.5) for lo in (4.0, 0.0, 2.0)]
-    ids = b.ordered_ids(bins, "manual", ["gone", "num:linear:2:4"], True)
+    """The table's bins by lower bound, the third one put first by hand; an id that is gone counts for nothing."""
+    bins = b.materialize(orders(spark, sf_dir), "v", b.Settings("linear", 4))[1]
+    ids = b.ordered_ids(bins[::-1], "manual", ["gone", bins[2].id], True)
     return spark.createDataFrame(list(enumerate(ids)), "place int, id string")

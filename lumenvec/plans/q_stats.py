@@ -162,7 +162,5 @@ def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg18", f"SELECT stat_family, count(*) AS n FROM {STAT} GROUP BY stat_family")
 def agg18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by destination: each family is a filter of its own."""
-    t = stat_table(spark, sf_dir)
-    parts = [t.filter(F.col("stat_family") == f).groupBy("stat_family").agg(F.count(F.lit(1)).alias("n")) for f in ("annotation_validity", "cluster_agreement")]
-    return parts[0].unionByName(parts[1])
+    """Rows by destination, all in one pass."""
+    return stat_table(spark, sf_dir).filter(F.col("stat_family").isin("annotation_validity", "cluster_agreement")).groupBy("stat_family").agg(F.count(F.lit(1)).alias("n"))

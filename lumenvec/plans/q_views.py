@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.operators import legend, spatial, views
+from lumenvec.operators import legend, ranks, spatial, views
 from lumenvec.plans.registry import query
 from lumenvec.sources.shared import fresh_path
 
@@ -68,13 +68,13 @@ def top2_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top3", f"WITH {PARTS}, s AS (SELECT value, n, value = 'ring' AS is_other, CASE WHEN n % 3 > 0 THEN (n % 7)::DOUBLE END AS score FROM f) SELECT value, row_number() OVER (ORDER BY is_other, score DESC NULLS LAST, value) AS place FROM s")
 def top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = counts(spark, sf_dir).select("value", (F.col("value") == "ring").alias("is_other"), F.when(F.col("n") % 3 > 0, (F.col("n") % 7).cast("double")).alias("score"), F.col("value").alias("z"))
-    return c.select("value", F.row_number().over(legend.Window.orderBy(*legend.silhouette_order())).cast("long").alias("place"))
+    return ranks.numbered(c, legend.silhouette_order(), "place").select("value", F.col("place").cast("long").alias("place"))
 
 
 @query("top4", f"WITH {PARTS} SELECT value, row_number() OVER (ORDER BY value = '__NA__', n DESC, value) - 1 AS z FROM f")
 def top4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = legend.Window.orderBy(*legend.order_of("size-desc", numeric_source=True))
-    return counts(spark, sf_dir).select("value", (F.row_number().over(w) - 1).cast("long").alias("z"))
+    placed = ranks.numbered(counts(spark, sf_dir), legend.order_of("size-desc", numeric_source=True), "z", 0)
+    return placed.select("value", F.col("z").cast("long").alias("z"))
 
 
 @query("top7", "SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS draw FROM events")
@@ -86,7 +86,7 @@ def top7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top8", "SELECT p_brand AS name, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT)) AS place FROM (SELECT DISTINCT p_brand FROM part)")
 def top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("name")).distinct()
-    return b.select("name", F.row_number().over(legend.Window.orderBy(legend.natural_key(F.col("name")))).cast("long").alias("place"))
+    return ranks.numbered(b, [legend.natural_key(F.col("name"))], "place").select("name", F.col("place").cast("long").alias("place"))
 
 
 @query("prj16", f"WITH {PARTS}, s AS (SELECT value, count(*) AS n, min(struct_pack(p := id, j := j)) AS seen FROM l GROUP BY value) SELECT value, n, (row_number() OVER (ORDER BY value = '__NA__', n DESC, seen) - 1)::INT AS idx FROM s")

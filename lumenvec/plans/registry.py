@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules of this package that register queries.
-MODULES = ("q_binning", "q_cells", "q_filters", "q_joins", "q_knn", "q_manifold", "q_reduce", "q_report", "q_stats", "q_views")
+MODULES = ("q_binning", "q_cells", "q_filters", "q_joins", "q_knn", "q_manifold", "q_reduce", "q_report", "q_settings", "q_stats", "q_streams", "q_views")
 
 
 def _load() -> None:
