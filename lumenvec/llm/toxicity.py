@@ -171,10 +171,11 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from at most ``fit_rows`` labelled rows that are not held out."""
+    """Learns from at most ``fit_rows`` labelled rows that are not held out, one text for each id (that with the smallest hash)."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # fit_rows pairs of numbers at most are broadcast
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "fit_rows")
+    mine = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = written(mine.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "fit_rows")
     n_toxic, n = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     if not n or n_toxic in (0, n):
         return Model(share=(n_toxic or 0) / n if n else 0.0)
