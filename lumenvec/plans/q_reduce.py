@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.operators import knn, reduce
+from lumenvec.plans.q_knn import COS, VOTE, near_sql
 from lumenvec.plans.registry import query
 from lumenvec.sources import bundle, entries, fasta
 from lumenvec.sources.shared import file_system, fresh_path
@@ -78,13 +79,14 @@ def sta3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.kmeans_sweep(vectors(spark, sf_dir), by="silhouette")[0]
 
 
-@query("knn9", "SELECT count(*) AS n, 2::BIGINT AS k FROM embeddings WHERE vec_id % 5 = 0")
+@query("knn9", f"WITH {near_sql(2, COS)}, {VOTE} SELECT query_id, label::VARCHAR AS label, b.i AS source_id, round(b.d, 6) AS distance, round(ri, 6) AS reliability FROM t WHERE place = 1")
 def knn9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from a saved reference set, which brings its metric with it."""
     path = f"{folder(spark)}/lookup"
-    v = vectors(spark, sf_dir)
+    v = vectors(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
     knn.save_lookup(v.filter("id % 5 <> 0"), path, "cosine")
     out = knn.query_lookup(v.filter("id % 5 = 0"), path, 2)
-    return out.agg(F.count(F.lit(1)).alias("n"), F.max("k").cast("long").alias("k"))
+    return out.select("query_id", "label", "source_id", F.round("distance", 6).alias("distance"), F.round("reliability", 6).alias("reliability"))
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> str:
@@ -164,6 +166,27 @@ def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_fasta(spark, path)
 
 
+#: An entry as the remote service gives it, with a customer's key, name and nation in it.
+ENTRY = (
+    '{"primaryAccession":"P%1$05d","uniProtkbId":"N%1$d_HUMAN","entryType":"UniProtKB reviewed (Swiss-Prot)","genes":[{"geneName":{"value":"%2$s"}}],"organism":{"scientificName":"O","taxonId":%3$d,"lineage":["a","b%3$d"]},'
+    '"organismHosts":[{"scientificName":"h"},{}],"sequence":{"value":"MK","length":2,"molWeight":%1$d},"entryAudit":{"firstPublicDate":"2001-02-03","entryVersion":%3$d},'
+    '"proteinDescription":{"recommendedName":{"ecNumbers":[{"value":"1.1.1.%3$d"}]},"alternativeNames":[{"ecNumbers":[{"value":"2.2.2.2"}]},{}]},"keywords":[{"id":"KW-%3$d","name":"k"}],'
+    '"features":[{"type":"Signal","location":{"start":{"value":1},"end":{"value":%3$d}}},{"type":"Glycosylation","description":"N-linked","location":{"start":{"value":%3$d},"end":{"value":%3$d}}},{"type":"Disulfide bond","location":{"start":{"value":3},"end":{"value":9}}}],'
+    '"uniProtKBCrossReferences":[{"database":"GO","id":"GO:%3$d","properties":[{"key":"GoTerm","value":"P:growth"},{"key":"GoEvidenceType","value":"IDA:X"}]},{"database":"GO","id":"GO:0","properties":[{"key":"GoTerm","value":"F:binding"}]},{"database":"Proteomes","id":"UP%3$d"}]}'
+)
+FIELDS = ("entry", "entry_name", "gene_primary", "organism_name", "xref_proteomes", "lineage", "virus_hosts", "mass", "keyword_id", "go", "go_bp", "go_mf", "go_cc", "go_id", "date_created", "date_modified", "version", "ec", "ft_disulfid", "ft_glycosylation", "ft_signal", "ft_non_ter")
+
+
+@query("src13", """SELECT c_custkey AS id, printf('P%05d', c_custkey) AS entry, 'N' || c_custkey || '_HUMAN' AS entry_name, c_name AS gene_primary, 'O' AS organism_name, 'UP' || n AS xref_proteomes, 'a;b' || n AS lineage, 'h' AS virus_hosts,
+  c_custkey::VARCHAR AS mass, 'KW-' || n AS keyword_id, 'P:growth|IDA;F:binding' AS go, 'P:growth|IDA' AS go_bp, 'F:binding' AS go_mf, '' AS go_cc, 'GO:' || n || ';GO:0' AS go_id, '2001-02-03' AS date_created, '' AS date_modified, n::VARCHAR AS version,
+  '1.1.1.' || n || ';2.2.2.2' AS ec, '3-9' AS ft_disulfid, n || ' (N-linked)' AS ft_glycosylation, '1-' || n AS ft_signal, '' AS ft_non_ter FROM (SELECT *, c_nationkey AS n FROM customer)""")
+def src13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of as many proteins as there are customers, field by field."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    body = F.format_string(ENTRY, F.col("c_custkey").cast("long"), "c_name", F.col("c_nationkey").cast("long"))
+    return entries.parse_entries(c.select(F.col("c_custkey").alias("id"), body.alias("body")), "id", "body").select("id", *FIELDS)
+
+
 @query("src15", "SELECT n_nationkey AS taxon, '' AS root, 'R' AS domain, '' AS kingdom, '' AS phylum, '' AS class, '' AS \"order\", '' AS family, n_name AS genus, '' AS species FROM nation")
 def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")

@@ -91,16 +91,37 @@ def protein_entry(json: Column) -> dict[str, Column]:
     kind = lambda t: F.filter(comments, lambda x: x["commentType"] == t)
     places = F.flatten(F.transform(kind("SUBCELLULAR LOCATION"), lambda x: F.coalesce(x["subcellularLocations"], F.array())))
     family = F.get(F.flatten(F.transform(kind("SIMILARITY"), lambda x: F.coalesce(x["texts"], F.array()))), F.lit(0))
-    features = F.coalesce(F.from_json(_first(json, "$.features"), "array<struct<type:string>>"), F.array())
+    features = F.coalesce(F.from_json(_first(json, "$.features"), "array<struct<type:string,description:string,location:struct<start:struct<value:bigint>,end:struct<value:bigint>>>>"), F.array())
     ec = f"array<struct<value:string,{_EV.replace(' ', ':', 1)}>>"
-    return {
+    names = F.coalesce(F.from_json(_first(json, "$.proteinDescription.alternativeNames"), f"array<struct<ecNumbers:{ec}>>"), F.array())
+    numbers = F.concat(F.coalesce(F.from_json(_first(json, "$.proteinDescription.recommendedName.ecNumbers"), ec), F.array()), F.flatten(F.transform(names, lambda n: F.coalesce(n["ecNumbers"], F.array()))))
+    joined = lambda items: F.array_join(F.filter(items, lambda x: F.coalesce(x, F.lit("")) != ""), ";")
+    # Terms of an aspect with the short code of their evidence, which stands before a colon.
+    source = lambda x: F.split_part(F.coalesce(prop(x, "GoEvidenceType"), F.lit("")), F.lit(":"), F.lit(1))
+    term = lambda x: F.concat(encode_field(prop(x, "GoTerm")), F.when(source(x) != "", F.concat(F.lit("|"), source(x))).otherwise(""))
+    terms = lambda aspect: joined(F.transform(F.filter(of("GO"), lambda x: F.startswith(prop(x, "GoTerm"), F.lit(f"{aspect}:"))), term))
+    of_type = lambda t: F.filter(features, lambda x: x["type"] == t)
+    start, end = (lambda x: x["location"]["start"]["value"].cast("string")), (lambda x: x["location"]["end"]["value"].cast("string"))
+    span = lambda x: F.concat_ws("-", start(x), end(x))
+    spans = lambda t: joined(F.transform(of_type(t), span))
+    sites = lambda t: joined(F.transform(of_type(t), lambda x: F.concat(start(x), F.when(F.coalesce(x["description"], F.lit("")) != "", F.concat(F.lit(" ("), encode_field(x["description"]), F.lit(")"))).otherwise(""))))
+    more = {
+        "entry_name": _first(json, "$.uniProtkbId"), "gene_primary": _first(json, "$.genes[0].geneName.value"), "organism_name": _first(json, "$.organism.scientificName"), "xref_proteomes": ids("Proteomes"),
+        "lineage": F.array_join(F.coalesce(F.from_json(_first(json, "$.organism.lineage"), "array<string>"), F.array()), ";"), "virus_hosts": _joined(_first(json, "$.organismHosts"), "array<struct<scientificName:string>>", lambda h: h["scientificName"]),
+        "mass": _first(json, "$.sequence.molWeight"), "keyword_id": _joined(_first(json, "$.keywords"), "array<struct<id:string>>", lambda k: k["id"]),
+        "go": joined(F.transform(of("GO"), term)), "go_bp": terms("P"), "go_mf": terms("F"), "go_cc": terms("C"), "go_id": ids("GO"),
+        "date_created": _first(json, "$.entryAudit.firstPublicDate"), "date_modified": _first(json, "$.entryAudit.lastAnnotationUpdateDate"), "date_sequence_modified": _first(json, "$.entryAudit.lastSequenceUpdateDate"), "version": _first(json, "$.entryAudit.entryVersion"),
+        "ft_non_adj": spans("Non-adjacent residues"), "ft_non_std": joined(F.transform(of_type("Non-standard residue"), start)), "ft_non_ter": start(F.get(of_type("Non-terminal residue"), F.lit(0))),
+        "ft_disulfid": spans("Disulfide bond"), "ft_glycosylation": sites("Glycosylation"), "ft_lipidation": sites("Lipidation"), "ft_mod_res": sites("Modified residue"), "ft_signal": span(F.get(of_type("Signal"), F.lit(0))),
+    }
+    return more | {
         "entry": _first(json, "$.primaryAccession"), "uniprot_kb_id": _first(json, "$.uniProtkbId"), "reviewed": bio.reviewed(F.coalesce(_first(json, "$.entryType"), F.lit(""))),
         "protein_existence": F.coalesce(_first(json, "$.proteinExistence"), F.lit("")), "annotation_score": bio.annotation_score(F.coalesce(_first(json, "$.annotationScore"), F.lit(""))),
         "organism_id": _first(json, "$.organism.taxonId"), "organism": _first(json, "$.organism.scientificName"), "gene_name": _first(json, "$.genes[0].geneName.value"),
         "protein_name": F.coalesce(_first(json, "$.proteinDescription.recommendedName.fullName.value"), _first(json, "$.proteinDescription.submissionNames[0].fullName.value")),
         "length": _first(json, "$.sequence.length"), "sequence": _first(json, "$.sequence.value"), "uniparc_id": F.coalesce(_first(json, "$.extraAttributes.uniParcId"), F.lit("")),
         "keyword": _joined(_first(json, "$.keywords"), "array<struct<id:string,name:string>>", lambda k: F.concat(k["id"], F.lit(" ("), encode_field(k["name"]), F.lit(")"))),
-        "ec": _joined(_first(json, "$.proteinDescription.recommendedName.ecNumbers"), ec, lambda e: _with_best(e["value"], e["evidences"])),
+        "ec": joined(F.transform(numbers, lambda e: _with_best(e["value"], e["evidences"]))),
         "cc_subcellular_location": F.array_join(F.transform(F.filter(places, lambda p: F.coalesce(p["location"]["value"], F.lit("")) != ""), lambda p: _with_best(encode_field(p["location"]["value"]), p["location"]["evidences"])), ";"),
         "protein_families": F.coalesce(_with_best(encode_field(bio.family_sentence(family["value"])), family["evidences"]), F.lit("")),
         "fragment": F.when(F.startswith(_first(json, "$.proteinDescription.flag"), F.lit("Fragment")), "fragment").otherwise(""),
