@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows up to which a dimension is broadcast; beyond, Spark joins it as any other table.
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its plan's own bound on its size is at most ``most`` bytes; no job runs to find that out.
+
+    Without a bound (Spark then assumes the largest number) the join stays one that shuffles, which adaptive execution may still turn.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= most else df
 
 
 def dedup(df: DataFrame, key: str, position: str, last: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.operators import knn, reduce
+from lumenvec.plans import prepare
 from lumenvec.plans.q_knn import COS, VOTE, near_sql
 from lumenvec.plans.registry import query
 from lumenvec.sources import bundle, entries, fasta
@@ -213,3 +214,18 @@ def src21(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("sequence"))
     out = entries.embed(c, lambda s: [[float(len(x)), 1.0] for x in s], c.filter("id % 2 = 0"))
     return out.select("id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
+@query("prepare", f"""SELECT p.projection_name, e.vec_id::VARCHAR AS identifier, CASE WHEN e.vec_id % 5 > 0 THEN 'L' || e.label ELSE '' END AS family, CASE WHEN e.vec_id % 5 = 0 THEN 'L' || n.label ELSE '' END AS filled, p.dims AS dimensions, 'red' AS color
+FROM embeddings e CROSS JOIN (VALUES ('A — PCA 2', 2), ('A — PCA 3', 3)) p(projection_name, dims) LEFT JOIN (WITH {near_sql(1, COS)} SELECT query_id, label FROM n) n ON n.query_id = e.vec_id""")
+def prepare_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call from vectors to a bundle with filled labels, one more for its styles, and everything read back."""
+    v = vectors(spark, sf_dir)
+    notes = v.select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("L"), "label")).alias("family"))
+    path = prepare.prepare(spark, {"A": v.select("id", "embedding")}, f"{folder(spark)}/a.bundle", "pca2,pca3", notes, fill=["family"])
+    prepare.style_bundle(spark, path, f"{path}.styled", {"family": {"colors": {"L1": "red"}}})
+    path = f"{path}.styled"
+    at, meta = bundle.read_part(spark, path, "projections").filter("x is not null and y is not null"), bundle.read_part(spark, path, "metadata").select("projection_name", "dimensions")
+    color = bundle.read_part(spark, path, "settings").select(F.get_json_object("settings_json", "$.legendSettings.family.categories.L1.color").alias("color"))
+    both = at.join(bundle.read_part(spark, path), "identifier").join(meta, "projection_name").crossJoin(F.broadcast(color))  # one row
+    return both.select("projection_name", "identifier", "family", F.col("family__pred_value").alias("filled"), "dimensions", "color")
