@@ -17,7 +17,7 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
 
     Without a bound (Spark then assumes the largest number) the join stays one that shuffles, which adaptive execution may still turn.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # a BigInt of Scala, or a number
     return F.broadcast(df) if size <= most else df
 
 
