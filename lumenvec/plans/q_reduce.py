@@ -159,11 +159,14 @@ def agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("n"), (F.sum(h) % F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(20,0)").cast("string").alias("fingerprint"))
 
 
-@query("src8", "SELECT * FROM (VALUES ('sp|P12345|A', 'MKVLL'), ('c', 'ACD')) t(id, sequence)")
+@query("src8", "SELECT c_name AS id, 'MKVL' || c_mktsegment AS sequence FROM customer WHERE c_custkey % 7 > 0")
 def src8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{folder(spark)}/a.fasta"
-    with open(path, "w") as f:
-        f.write(">sp|P12345|A one\nMKV\nLL\n>b\n\n>c x\nACD\n>c y\nAAA\n")
+    """Customers as records of FASTA text over several lines: some without a sequence, some repeated, of which the first counts."""
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    body = F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("MK\nVL"), "c_mktsegment"))
+    again = F.when((k % 7 > 0) & (k % 11 == 0), F.concat(F.lit("\n>"), "c_name", F.lit(" again\nAAA"))).otherwise("")
+    path = f"{folder(spark)}/customers.fasta"
+    c.select(F.concat(F.lit(">"), "c_name", F.lit(" a customer\n"), body, again).alias("value")).write.text(path)
     return fasta.read_fasta(spark, path)
 
 

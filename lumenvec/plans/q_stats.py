@@ -100,10 +100,15 @@ def sta12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return none.select("rows", F.lit(stats.clamp_k(10, 3)).alias("k_small"), F.lit(stats.clamp_k(10, 100)).alias("k_large"))
 
 
-@query("sta2", "SELECT 4::INT AS k, true AS trusted, 2::INT AS short_k, false AS short_trusted")
+@query("sta2", """WITH v AS (SELECT sum(c_acctbal) AS y FROM customer GROUP BY c_nationkey), r AS (SELECT y, row_number() OVER (ORDER BY y DESC) - 1 AS i FROM v),
+d AS (SELECT i, (1 - i / (SELECT max(i) FROM r)::DOUBLE) - (y - (SELECT min(y) FROM r)) / ((SELECT max(y) FROM r) - (SELECT min(y) FROM r)) AS d FROM r),
+b AS (SELECT i, d FROM d ORDER BY d DESC, i LIMIT 1) SELECT (2 + i)::INT AS k, d >= 0.05 AND (SELECT count(*) FROM r) >= 4 AS trusted, 2::INT AS short_k, false AS short_trusted FROM b""")
 def sta2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, trusted = stats.elbow([2, 3, 4, 5, 6], [100.0, 60.0, 20.0, 15.0, 10.0])
-    s, t = stats.elbow([2, 3], [5.0, 1.0])
+    """The elbow of a falling curve from a table (nations by their customers' balance), and of a curve of two points, which has none to trust."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("y")).orderBy(F.desc("y"))
+    y = [float(r["y"]) for r in c.collect()]  # a row a nation
+    k, trusted = stats.elbow(list(range(2, 2 + len(y))), y)
+    s, t = stats.elbow([2, 3], y[:2])
     return spark.createDataFrame([(k, trusted, s, t)], "k int, trusted boolean, short_k int, short_trusted boolean")
 
 
