@@ -10,6 +10,8 @@ so has the wrong type where another is asked for; unknown members are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ DEFAULT_PALETTE = "kellys"
 _NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*)$"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
@@ -95,14 +102,20 @@ def _threshold_ok(v: Column) -> Column:
 def normalized(text: Column) -> Column:
     """struct(shape, legend, export, publish, overlay, threshold): ``shape`` is current, legacy or repaired; ``legend`` and ``export`` map
     an annotation to its settings as JSON; ``publish`` is JSON."""
-    v = F.try_parse_json(text)
+    return _let(F.try_parse_json(text), lambda v: _let(_shape(v), lambda shape: _normalized(v, shape)))
+
+
+def _shape(v: Column) -> Column:
     every = lambda members, test: F.coalesce(F.forall(F.map_values(members), test), F.lit(False))
     absent = lambda path: _kind(v, path).isNull()
     current = (
         _is(v, "$", "object") & _is(v, "$.publishState", "object", True) & _is(v, "$.eatOverlayEnabled", "flag", True) & (absent("$.eatConfidenceThreshold") | _threshold_ok(v))
         & every(_members(v, "$.legendSettings"), legend_ok) & every(_members(v, "$.exportOptions"), export_ok)
     )
-    shape = F.when(current, "current").when(every(_members(v, "$"), legend_ok), "legacy").when(_is(v, "$", "object"), "repaired")
+    return F.when(current, "current").when(every(_members(v, "$"), legend_ok), "legacy").when(_is(v, "$", "object"), "repaired")
+
+
+def _normalized(v: Column, shape: Column) -> Column:
     none = F.create_map().cast("map<string,string>")
     legacy = shape == "legacy"
     legends = F.when(legacy, _members(v, "$")).otherwise(F.coalesce(_members(v, "$.legendSettings"), _members(v, "$")))

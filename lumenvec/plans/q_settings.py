@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenvec.operators import settings
 from lumenvec.plans.registry import query
+from lumenvec.sources.shared import spread
 
 LEGEND = '{"maxVisibleValues":%d,"shapeSize":3.5,"sortMode":"size-desc","hiddenValues":["a"],"enableDuplicateStackUI":true,"categories":{"x":{"zOrder":1,"color":"#fff","shape":"circle"}}%s}'
 EXPORT = '{"imageWidth":%d,"imageHeight":2,"lockAspectRatio":true,"legendWidthPercent":20,"legendFontSizePx":12,"includeLegendSettings":true,"includeExportOptions":false}'
@@ -30,7 +31,7 @@ SELECT id, CASE WHEN k = 0 THEN 'current' WHEN k = 1 THEN 'legacy' WHEN k IN (2,
   CASE WHEN k IN (0, 2, 3, 6) THEN 7 WHEN k = 1 THEN 8 END::BIGINT AS most, CASE WHEN k = 0 THEN 'quantile' END AS strategy, CASE WHEN k IN (0, 1, 2, 3, 6) THEN 'kellys' END AS palette,
   CASE WHEN k = 0 THEN '{"a":[1]}' END AS publish, CASE WHEN k = 0 THEN true END AS overlay, CASE WHEN k = 0 THEN 0.5::DOUBLE WHEN k = 6 THEN 1.0 END AS threshold FROM c""")
 def settings_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey") % 8
+    c, k = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")), F.col("c_custkey") % 8
     text = F.lit(None).cast("string")
     for i, t in enumerate(TEXTS):
         text = F.when(k == i, F.format_string(t, "c_mktsegment", "c_custkey")).otherwise(text)
