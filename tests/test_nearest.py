@@ -1,6 +1,9 @@
 """Nearest lists that are kept over blocks, and all pairs without an order."""
 
+import weakref
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenvec.operators import knn
@@ -49,6 +52,34 @@ def test_a_block_of_queries_leaves_k_rows_a_query(spark):
     assert rows <= 3 * knn.REF_PARTS
 
 
+@pytest.mark.parametrize("kind", [pa.float32(), pa.float64()])
+def test_a_task_lets_go_of_batches_it_has_passed(kind):
+    """A block of queries meets references in many Arrow batches: only the newest is held, not the one in which the block began."""
+    rng = np.random.default_rng(6)
+    q, r, held, most = rng.normal(size=(5, 4)), rng.normal(size=(6, 7, 4)), [], []
+
+    def batches():
+        for n, block in enumerate(r):
+            columns = [["a"], [list(range(5))], [q.tolist()], [list(range(7 * n, 7 * n + 7))], [block.tolist()]]
+            types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.list_(kind)), pa.list_(pa.int64()), pa.list_(pa.list_(kind))]
+            b = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["q_block", "q_ids", "q_vecs", "r_ids", "r_vecs"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as writer:
+                writer.write_batch(b)
+            whole = np.frombuffer(sink.getvalue(), np.uint8).copy()  # all columns of a batch lie in one buffer, as those that Spark sends
+            held.append(weakref.ref(whole))
+            b = pa.ipc.open_stream(pa.BufferReader(pa.py_buffer(whole))).read_next_batch()
+            del whole
+            yield b
+            del b
+            most.append(sum(x() is not None for x in held))
+
+    got = [row for b in knn._pairs(2, "cosine", 9)(batches()) for row in b.to_pylist()]
+    want, _ = plain(q.astype(kind.to_pandas_dtype()), r.reshape(-1, 4).astype(kind.to_pandas_dtype()), 2, "cosine")
+    assert [x["ref_id"] for x in got] == want.ravel().tolist() and [x["query_id"] for x in got] == np.repeat(np.arange(5), 2).tolist()
+    assert max(most) == 1
+
+
 def test_few_references(spark):
     got = knn.nearest(frame(spark, np.eye(3)), frame(spark, np.eye(3)[:2]), 5, "euclidean")
     assert got.count() == 6 and knn.nearest(frame(spark, np.eye(3)), frame(spark, np.eye(3)).filter("id < 0"), 5).count() == 0
