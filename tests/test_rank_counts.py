@@ -71,3 +71,18 @@ def test_a_category_is_summed_once(monkeypatch):
         some = [x == name for x in c]
         np.testing.assert_allclose(at["to"][name][0], d[:, some].sum(1))
         assert at["to"][name][1] == sum(some)
+
+
+def test_all_pairs_leave_in_order_of_distance():
+    """Equal distances stand together, so that a written result of all pairs takes half; each pair is there once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    q, r = rng.integers(0, 3, (30, 4)).astype(float), rng.integers(0, 3, (40, 4)).astype(float)
+    whole = lambda x, t: pa.array([x], t)
+    ids, vecs = pa.list_(pa.int64()), pa.list_(pa.list_(pa.float64()))
+    b = pa.record_batch([whole(list(range(30)), ids), whole(q.tolist(), vecs), whole(list(range(100, 140)), ids), whole(r.tolist(), vecs)], ["q_ids", "q_vecs", "r_ids", "r_vecs"])
+    out = pa.Table.from_batches(knn._every("euclidean")(iter([b])))
+    i, j, d = (out[c].to_numpy() for c in ("query_id", "ref_id", "distance"))
+    assert (np.diff(d) >= 0).all() and len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(d) == 1200
+    np.testing.assert_allclose(d, np.sqrt(((q[i] - r[j - 100]) ** 2).sum(1)), atol=1e-12)
